@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimloom.llm import mapping
+from claimloom.functions import attributes as A
+from claimloom.llm import consensus, mapping
 from claimloom.session import table
 
 
@@ -13,6 +15,34 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return mapping.map_rows(rows, table(spark, sf, "value_list"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found,)}
+LABELLED = ("wifi_standard", "bluetooth_version", "touchscreen")
+
+
+def _votes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "source_claims").select("source_id", "product_id", "canonical_attribute", "value_string")
+    key = A.attribute_key(F.col("canonical_attribute"))
+    names = {"".join(c for c in a if c.isalnum()): a for a in LABELLED}
+    return rows.withColumn("_key", key).filter(F.col("_key").isin(*names)).select(
+        F.col("source_id").alias("source"), A.by_key(F.col("_key"), names, "string").alias("task"), F.col("product_id").alias("item"),
+        F.lower(A.usable_text(F.col("value_string"))).alias("label"),
+    )
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    labels = consensus.consensus_labels(consensus.estimate(_votes(spark, sf)))
+    return labels.filter("n_sources >= 3 AND n_labels >= 2").select(F.col("item").alias("product_id"), F.col("task").alias("attribute"), "label")
+
+
+def p5_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    result = consensus.estimate(_votes(spark, sf))
+    return result.annotators.select(F.col("source").alias("source_id"), "skill", "reliability", "n_labels")
+
+
+def p5_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    votes = _votes(spark, sf).dropna().distinct()
+    return consensus.agreement(votes).select("task", "n_votes", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")])
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_reliability, p5_agreement)}
 
 SQL: dict[str, str] = {}
