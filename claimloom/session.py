@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: lineage ends, executors may be lost."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Lineage ends, executors may be lost, and columnar compression keeps the copy small. A table that a
+    later round replaces is removed with ``discard``; the rest goes when the folder is emptied.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/claimloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._claimloom_path = path
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table written by ``cut`` that nothing reads any more."""
+    path = getattr(df, "_claimloom_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
