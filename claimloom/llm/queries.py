@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import attributes as A
-from claimloom.llm import consensus, mapping
+from claimloom.llm import consensus, mapping, similar, together
 from claimloom.session import table
 
 
@@ -43,6 +43,77 @@ def p5_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return consensus.agreement(votes).select("task", "n_votes", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")])
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_reliability, p5_agreement)}
+def _claim_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return similar.distinct_elements(table(spark, sf, "assertions"), "source_id", "claim_id")
 
-SQL: dict[str, str] = {}
+
+def _similar_sources(spark: SparkSession, sf: str) -> similar.SimilarSets:
+    return similar.similar_sets(_claim_sets(spark, sf), threshold=0.7, min_size=5)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = similar.pairs(_similar_sources(spark, sf))
+    return found.select(F.col("set_a").alias("source_id_a"), F.col("set_b").alias("source_id_b"))
+
+
+def p6_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per source of at least 5 claims: its class of equal sets and its number of similar sources."""
+    return similar.memberships(_similar_sources(spark, sf)).select(F.col("set_id").alias("source_id"), "class_id", "size", "n_links")
+
+
+def _claim_pairs(spark: SparkSession, sf: str) -> together.PairState:
+    rows = table(spark, sf, "assertions")
+    return together.load(rows.select(F.col("source_id").alias("basket"), F.col("claim_id").alias("item")), min_support=6)
+
+
+def _strong(state: together.PairState) -> DataFrame:
+    found = together.associations(state)
+    return found.filter(F.col("n_ab") * F.col("n_baskets") >= 4 * F.col("n_a") * F.col("n_b"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = _strong(_claim_pairs(spark, sf))
+    return found.select(F.col("item_a").alias("claim_id_a"), F.col("item_b").alias("claim_id_b"))
+
+
+def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of claims with at least 6 common sources, with its counts and lift."""
+    found = together.associations(_claim_pairs(spark, sf))
+    return found.select(
+        F.col("item_a").alias("claim_id_a"), F.col("item_b").alias("claim_id_b"), "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 9).alias("lift")
+    )
+
+
+def p7_two_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from two batches: what was ingested before 2024, then the rest as deltas."""
+    rows = table(spark, sf, "assertions").select(F.col("source_id").alias("basket"), F.col("claim_id").alias("item"), "ingested_at")
+    early = F.col("ingested_at") < F.lit("2024-01-01").cast("timestamp")
+    state = together.load(rows.filter(early), min_support=6)
+    state = together.update(state, rows.filter(~early), rows.limit(0))
+    found = together.associations(state)
+    return found.select(F.col("item_a").alias("claim_id_a"), F.col("item_b").alias("claim_id_b"), "n_ab", "n_a", "n_b", "n_baskets")
+
+
+_SETS = "e AS (SELECT DISTINCT source_id AS s, claim_id AS c FROM assertions WHERE source_id IS NOT NULL AND claim_id IS NOT NULL)"
+_SIMILAR = f"""WITH {_SETS}, n AS (SELECT s, count(*) AS n FROM e GROUP BY s HAVING count(*) >= 5),
+p AS (SELECT x.s AS a, y.s AS b, count(*) AS m FROM e x JOIN e y ON x.c = y.c AND x.s < y.s GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.s = p.a JOIN n y ON y.s = p.b WHERE p.m * 10 >= 7 * (x.n + y.n - p.m))"""
+_PAIRS = f"""WITH {_SETS}, i AS (SELECT c, count(*) AS n FROM e GROUP BY c HAVING count(*) >= 6), f AS (SELECT e.* FROM e JOIN i USING (c)),
+big AS (SELECT s FROM f GROUP BY s HAVING count(*) > 1000),
+lo AS (SELECT x.c AS a, y.c AS b, count(*) AS m FROM f x JOIN f y ON x.s = y.s AND x.c < y.c WHERE x.s NOT IN (FROM big) GROUP BY ALL),
+hi AS (SELECT a, b, (SELECT count(*) FROM big) AS k, m FROM lo),
+t AS (SELECT a, b, m + (SELECT count(*) FROM f x JOIN f y ON x.s = y.s WHERE x.s IN (FROM big) AND x.c = hi.a AND y.c = hi.b) AS m FROM hi WHERE m + k >= 6),
+r AS (SELECT a AS claim_id_a, b AS claim_id_b, m AS n_ab, x.n AS n_a, y.n AS n_b, (SELECT count(DISTINCT s) FROM e) AS n_baskets
+      FROM t JOIN i x ON x.c = a JOIN i y ON y.c = b WHERE m >= 6)"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (p4_found, p5_found, p5_reliability, p5_agreement, p6_found, p6_sources, p7_found, p7_pairs, p7_two_batches)
+}
+
+SQL: dict[str, str] = {
+    "p6_found": f"{_SIMILAR} SELECT a AS source_id_a, b AS source_id_b FROM l",
+    "p7_found": f"{_PAIRS} SELECT claim_id_a, claim_id_b FROM r WHERE n_ab * n_baskets >= 4 * n_a * n_b",
+    "p7_pairs": f"{_PAIRS} SELECT *, round(n_ab * n_baskets / (n_a * n_b)::DOUBLE, 9) AS lift FROM r",
+    "p7_two_batches": f"{_PAIRS} SELECT * FROM r",
+}
