@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import attributes as A
-from claimloom.llm import consensus, mapping, similar, together
+from claimloom.llm import consensus, mapping, sentences, similar, together
 from claimloom.session import table
 
 
@@ -94,6 +94,18 @@ def p7_two_batches(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("item_a").alias("claim_id_a"), F.col("item_b").alias("claim_id_b"), "n_ab", "n_a", "n_b", "n_baskets")
 
 
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _units(spark, sf).select("doc_id", "start_char")
+
+
+def p10_units(spark: SparkSession, sf: str) -> DataFrame:
+    return _units(spark, sf)
+
+
 _SETS = "e AS (SELECT DISTINCT source_id AS s, claim_id AS c FROM assertions WHERE source_id IS NOT NULL AND claim_id IS NOT NULL)"
 _SIMILAR = f"""WITH {_SETS}, n AS (SELECT s, count(*) AS n FROM e GROUP BY s HAVING count(*) >= 5),
 p AS (SELECT x.s AS a, y.s AS b, count(*) AS m FROM e x JOIN e y ON x.c = y.c AND x.s < y.s GROUP BY ALL),
@@ -108,7 +120,7 @@ r AS (SELECT a AS claim_id_a, b AS claim_id_b, m AS n_ab, x.n AS n_a, y.n AS n_b
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p5_found, p5_reliability, p5_agreement, p6_found, p6_sources, p7_found, p7_pairs, p7_two_batches)
+    for f in (p4_found, p5_found, p5_reliability, p5_agreement, p6_found, p6_sources, p7_found, p7_pairs, p7_two_batches, p10_found, p10_units)
 }
 
 SQL: dict[str, str] = {
