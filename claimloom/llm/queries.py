@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import attributes as A
-from claimloom.llm import consensus, leaks, mapping, sentences, similar, together
+from claimloom.llm import consensus, leaks, mapping, packing, sentences, similar, together
 from claimloom.session import table
 
 
@@ -94,6 +94,15 @@ def p7_two_batches(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("item_a").alias("claim_id_a"), F.col("item_b").alias("claim_id_b"), "n_ab", "n_a", "n_b", "n_baskets")
 
 
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of every post or piece, in tokens of a public tokenizer."""
+    return packing.pack_documents(table(spark, sf, "documents").select("doc_id", "text", "source"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, sf))
+
+
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items"))
 
@@ -139,7 +148,7 @@ r AS (SELECT a AS claim_id_a, b AS claim_id_b, m AS n_ab, x.n AS n_a, y.n AS n_b
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p5_found, p5_reliability, p5_agreement, p6_found, p6_sources, p7_found, p7_pairs, p7_two_batches, p9_found, p9_leaks, p9_clean, p10_found, p10_units)
+    for f in (p4_found, p5_found, p5_reliability, p5_agreement, p6_found, p6_sources, p7_found, p7_pairs, p7_two_batches, p8_containers, p8_fill, p9_found, p9_leaks, p9_clean, p10_found, p10_units)
 }
 
 SQL: dict[str, str] = {
