@@ -25,7 +25,7 @@ EM_ROUNDS = 200
 
 
 def parse(rows: DataFrame, definitions: list[dict]) -> DataFrame:
-    """Add what each row of a measured attribute states: ``attribute, common_key, number, unit_key, factor, rest, number_alt``.
+    """What each row of a measured attribute states: ``row`` (all its columns), ``attribute, common_key, number, unit_key, factor, rest, number_alt``.
 
     Rows of other attributes are left out. ``number`` is null where nothing usable is stated (null,
     blank, zero, negative, NaN, infinite or a stand-in). ``factor`` is null where no known unit is
@@ -33,9 +33,9 @@ def parse(rows: DataFrame, definitions: list[dict]) -> DataFrame:
     the other reading of ``d,ddd``. The steps stay separate projections so that each pattern runs once a row.
     """
     measured = [d for d in definitions if d["unit"] is not None]
-    own = ("attribute", "common_key", "number", "unit_key", "factor", "rest", "number_alt")
-    kept = [c for c in rows.columns if c not in own]
-    keyed = rows.select(*kept, A.attribute_key(F.col("canonical_attribute")).alias("_key"))
+    kept = ("row",)
+    stated_in = ("value_string", "value_numeric", "unit")
+    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *stated_in, A.attribute_key(F.col("canonical_attribute")).alias("_key"))
     keyed = keyed.filter(F.col("_key").isin(*[d["key"] for d in measured])) if measured else keyed.filter(F.lit(False))
     low, names = F.col("_low"), {d["key"]: d["attribute"] for d in measured}
     units = {d["key"]: _common_key(d["unit"]) for d in measured}
@@ -43,6 +43,7 @@ def parse(rows: DataFrame, definitions: list[dict]) -> DataFrame:
         *kept,
         A.by_key(F.col("_key"), names, "string").alias("attribute"),
         A.by_key(F.col("_key"), units, "string").alias("common_key"),
+        "unit",
         Q.positive(F.col("value_numeric")).alias("_numeric"),
         Q.number_token(low).alias("_token"),
         low.rlike(Q.NEGATIVE).alias("_negative"),
@@ -197,7 +198,7 @@ def normalise(rows: DataFrame, defs: DataFrame, certain: float = 0.9) -> DataFra
         A.attribute_key(F.col("attribute")), {d["key"]: d["unit"] for d in definitions if d["unit"] is not None}, "string"
     )
     return joined.select(
-        *[c for c in rows.columns if c not in own],
+        *[F.col(f"row.`{c}`") for c in rows.columns if c.lower() not in own],
         "attribute",
         "number",
         unit.alias("unit_key"),

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in at least two partitions a core, for work that costs far more than moving its rows.
+
+    Only a small table in few files is moved; a scan of more partitions stays as it is.
+    """
+    wanted = 2 * scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= wanted // 2:
+        return scan
+    return scan.repartition(wanted, F.xxhash64(*scan.columns))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
