@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import attributes as A
 from claimloom.llm import consensus, leaks, mapping, packing, sentences, similar, together
-from claimloom.session import table
+from claimloom.session import spread, table
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +96,7 @@ def p7_two_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     """The container of every post or piece, in tokens of a public tokenizer."""
-    return packing.pack_documents(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return packing.pack_documents(spread(table(spark, sf, "documents").select("doc_id", "text", "source")))
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +104,7 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items"))
+    return leaks.find_leaks(spread(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "eval_items"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +123,7 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.split_sentences(table(spark, sf, "documents").select("doc_id", "text"))
+    return sentences.split_sentences(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -121,9 +121,10 @@ def split_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     or digit have no units. Units come trimmed at both ends. Columns of ``docs`` named like the results
     are replaced. Repeated documents give repeated rows.
     """
-    own = ("start_char", "sentence", text)
-    kept = [c for c in docs.columns if c not in own]
-    begun = docs.filter(F.col(text).isNotNull()).select(*kept, masked(F.col(text)).alias("_m"))
+    own = ("start_char", "sentence", text.lower())
+    kept = ("row",)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own], F.lit(True).alias("_")).alias("row")
+    begun = docs.filter(F.col(text).isNotNull()).select(whole, masked(F.col(text)).alias("_m"))
     # separate projections, so that each pattern runs once
     cut = begun.select(*kept, _lines(F.col("_m")).alias("_m")).select(*kept, F.split(_sentences(F.col("_m")), SEP).alias("_p"))
     runs = F.transform(
@@ -145,4 +146,5 @@ def split_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.regexp_extract("_piece", f"^{_JUNK}", 0)).alias("_lead"),
     )
     body = F.regexp_replace(_restored(F.expr("substring(_piece, _lead + 1)")), f"(?:[\\s\\p{{Z}}]|(?<=[\\n >])>|&nbsp;|{BLOCK_TAG})+$", "")
-    return led.select(*kept, (F.col("_at") + F.col("_lead")).cast("bigint").alias("start_char"), body.alias("sentence"))
+    named = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own]
+    return led.select(*named, (F.col("_at") + F.col("_lead")).cast("bigint").alias("start_char"), body.alias("sentence"))
