@@ -22,6 +22,8 @@ from claimloom.session import cut
 BIN = 0.02
 MAX_BINS = 1_000_000
 EM_ROUNDS = 200
+#: Who writes no unit mostly means the common one: it starts with this share of the unstated rows on top of what they show.
+COMMON_PRIOR = 0.5
 
 
 def parse(rows: DataFrame, definitions: list[dict]) -> DataFrame:
@@ -152,9 +154,11 @@ def fit(counts: list) -> list[tuple]:
         x = (bins + 0.5) * BIN
         like = np.stack([density(x + shift) for shift in logs])
         weight = np.full(len(names), 1 / len(names))
+        prior = np.array([COMMON_PRIOR if name == common else 0.0 for name in names]) * n.sum()
         for _ in range(EM_ROUNDS):
             joint = weight[:, None] * like
-            new = (joint / joint.sum(0) * n).sum(1) / n.sum()
+            new = (joint / joint.sum(0) * n).sum(1) + prior
+            new /= new.sum()
             if np.abs(new - weight).max() < 1e-10:
                 break
             weight = new
