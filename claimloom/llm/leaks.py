@@ -166,12 +166,14 @@ def find_in_shard(docs: list[tuple[int, np.ndarray]], test: TestSet) -> list[tup
     if not (sequence >= 0).any() or not len(test.item_of):
         return []
     order = suffix_array(sequence, test.longest)
-    length, marks = search(sequence, order, test, (seed, run))
+    _, marks = search(sequence, order, test, (seed, run))
     found: dict[tuple[int, int], tuple[str, int]] = {}
     if run in marks:
         suffix, lo, hi = marks[run]
         which, place = _ranges(lo, hi)
-        for d, i, n in zip(owner[order[place]].tolist(), test.item_of[suffix[which]].tolist(), length[suffix[which]].tolist()):
+        where, s = order[place], suffix[which]
+        shared = _extend(sequence, where, test, s, run)
+        for d, i, n in zip(owner[where].tolist(), test.item_of[s].tolist(), shared.tolist()):
             if found.get((d, i), ("", 0))[1] < n:
                 found[d, i] = ("verbatim", n)
     if seed in marks:
@@ -199,6 +201,19 @@ def find_in_shard(docs: list[tuple[int, np.ndarray]], test: TestSet) -> list[tup
     return [(docs[d][0], i, kind, n) for (d, i), (kind, n) in found.items()]
 
 
+def _extend(sequence: np.ndarray, where: np.ndarray, test: TestSet, suffix: np.ndarray, known: int) -> np.ndarray:
+    """How far the place and the test suffix of each pair go on alike, given that ``known`` words do."""
+    shared = np.full(len(where), known, dtype=np.int64)
+    active = np.arange(len(where))
+    while len(active):
+        there, item = where[active] + shared[active], suffix[active] + shared[active]
+        inside = (there < len(sequence)) & (item < test.item_end[suffix[active]])
+        active, there, item = active[inside], there[inside], item[inside]
+        active = active[sequence[there] == test.tokens[item]]
+        shared[active] += 1
+    return shared
+
+
 RESULT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("length", pa.int64())])
 
 
