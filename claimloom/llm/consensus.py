@@ -36,27 +36,31 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def _posteriors(votes: DataFrame, skills: DataFrame, eases: DataFrame | None, tasks: DataFrame) -> DataFrame:
-    """One row per item: its ease and the posterior of each label that was given to it."""
-    sums = votes.join(skills, "source").groupBy("task", "item", "label").agg(F.sum("skill").alias("a"), F.count(F.lit(1)).alias("n"))
-    lists = sums.groupBy("task", "item").agg(F.collect_list(F.struct("label", "a", "n")).alias("given"))  # at most K entries
-    lists = lists.join(eases, ["task", "item"], "left") if eases is not None else lists.withColumn("log_ease", F.lit(0.0))
-    lists = lists.join(F.broadcast(tasks), "task").withColumn("log_ease", F.coalesce("log_ease", F.lit(0.0)))
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Distinct rows with a number each, written once so that the numbers stay."""
+    return cut(rows.distinct().withColumn(name, F.monotonically_increasing_id()))
+
+
+def _posteriors(votes: DataFrame, skills: DataFrame, eases: DataFrame | None) -> DataFrame:
+    """One row per item: ``item_no, log_ease`` and in ``p`` the posterior of each label that was given to it."""
+    sums = votes.join(skills, "source").groupBy("item_no", "label_no").agg(
+        F.sum("skill").alias("a"), F.count(F.lit(1)).alias("n"), F.first("k").alias("k")
+    )
+    lists = sums.groupBy("item_no").agg(F.collect_list(F.struct("label_no", "a", "n")).alias("given"), F.first("k").alias("k"))  # at most K entries
+    lists = lists.join(eases, "item_no", "left") if eases is not None else lists.withColumn("log_ease", F.lit(0.0))
+    lists = lists.withColumn("log_ease", F.coalesce("log_ease", F.lit(0.0)))
     ease, others = F.exp("log_ease"), F.log(F.col("k") - 1.0)
     scored = lists.withColumn("_e", F.transform("given", lambda g: ease * g["a"] + g["n"] * others))
     top = scored.withColumn("_top", F.greatest(F.array_max("_e"), F.lit(0.0)))
     weights = top.withColumn("_w", F.transform("_e", lambda e: F.exp(e - F.col("_top"))))
     absent = (F.col("k") - F.size("given")) * F.exp(-F.col("_top"))  # labels of the task that nobody gave to this item
     total = F.aggregate("_w", F.lit(0.0), lambda s, w: s + w) + absent
-    return weights.withColumn("_total", total).select(
-        "task", "item", "log_ease", F.zip_with("given", "_w", lambda g, w: F.struct(g["label"].alias("label"), (w / F.col("_total")).alias("p"))).alias("p")
-    )
+    shares = F.zip_with("given", "_w", lambda g, w: F.struct(g["label_no"].alias("label_no"), (w / F.col("_total")).alias("p")))
+    return weights.withColumn("_total", total).select("item_no", "log_ease", shares.alias("p"))
 
 
 def _label_rows(state: DataFrame) -> DataFrame:
-    return state.select("task", "item", "log_ease", F.explode("p").alias("_p")).select(
-        "task", "item", "log_ease", "_p.label", "_p.p"
-    )
+    return state.select("item_no", "log_ease", F.explode("p").alias("_p")).select("item_no", "log_ease", "_p.label_no", "_p.p")
 
 
 def estimate(votes: DataFrame, rounds: int = ROUNDS, broadcast_limit: int = BROADCAST_ANNOTATORS) -> Consensus:
@@ -67,52 +71,49 @@ def estimate(votes: DataFrame, rounds: int = ROUNDS, broadcast_limit: int = BROA
     """
     columns = ("source", "task", "item", "label")
     votes = cut(votes.select(*columns).dropna().distinct())
-    # one row per kind of task, a label vocabulary each: schema-sized
-    tasks = votes.groupBy("task").agg(F.greatest(F.countDistinct("label"), F.lit(2)).cast("double").alias("k"))
-    skills = cut(votes.groupBy("source").agg(F.count(F.lit(1)).alias("n_labels")).withColumn("skill", F.lit(1.0)))
-    small = skills.count() <= broadcast_limit
-    side = F.broadcast if small else (lambda d: d)
-    tasks = cut(tasks)
+    # the rounds move numbers only; names come back at the end
+    items = _numbered(votes.select("task", "item"), "item_no")
+    labels = _numbered(votes.select("task", "label"), "label_no")
+    kinds = labels.groupBy("task").agg(F.greatest(F.count(F.lit(1)), F.lit(2)).cast("double").alias("k"))
+    coded = cut(
+        votes.join(items, ["task", "item"]).join(labels, ["task", "label"]).join(kinds, "task").select("source", "item_no", "label_no", "k")
+    )
+    skills = cut(coded.select("source").distinct().withColumn("skill", F.lit(1.0)))
+    side = F.broadcast if skills.count() <= broadcast_limit else (lambda d: d)
     eases: DataFrame | None = None
     for _ in range(rounds):
-        state = _posteriors(votes, side(skills.select("source", "skill")), eases, tasks)
-        rows = votes.join(_label_rows(state), ["task", "item", "label"]).join(side(skills.select("source", "skill")), "source")
+        now = side(skills.select("source", "skill"))
+        rows = coded.join(_label_rows(_posteriors(coded, now, eases)), ["item_no", "label_no"]).join(now, "source")
         ease = F.exp("log_ease")
         right = _sigmoid(F.col("skill") * ease)
-        terms = rows.select(
-            "source", "task", "item", "log_ease", "skill", (F.col("p") - right).alias("_r"), (right * (1 - right)).alias("_v"), ease.alias("_ease")
-        ).select(
-            F.explode(
-                F.array(
-                    F.struct(
-                        F.col("source").alias("source"), F.lit(None).cast("string").alias("task"), F.lit(None).cast("string").alias("item"),
-                        F.col("skill").alias("now"), (F.col("_r") * F.col("_ease")).alias("g"), (F.col("_v") * F.col("_ease") * F.col("_ease")).alias("h"),
-                    ),
-                    F.struct(
-                        F.lit(None).cast("bigint").alias("source"), F.col("task").alias("task"), F.col("item").alias("item"),
-                        F.col("log_ease").alias("now"), (F.col("_r") * F.col("skill") * F.col("_ease")).alias("g"),
-                        (F.col("_v") * F.col("skill") * F.col("skill") * F.col("_ease") * F.col("_ease")).alias("h"),
-                    ),
-                )
-            ).alias("t")
-        ).select("t.*")
-        summed = terms.groupBy("source", "task", "item").agg(F.first("now").alias("now"), F.sum("g").alias("g"), F.sum("h").alias("h"))
+        terms = rows.select("source", "item_no", "log_ease", "skill", (F.col("p") - right).alias("_r"), (right * (1 - right)).alias("_v"), ease.alias("_ease"))
+        none = F.lit(None).cast("bigint")
+        for_source = F.struct(
+            F.col("source").cast("bigint").alias("source"), none.alias("item_no"), F.col("skill").alias("now"),
+            (F.col("_r") * F.col("_ease")).alias("g"), (F.col("_v") * F.col("_ease") * F.col("_ease")).alias("h"),
+        )
+        slope = F.col("skill") * F.col("_ease")
+        for_item = F.struct(
+            none.alias("source"), F.col("item_no"), F.col("log_ease").alias("now"), (F.col("_r") * slope).alias("g"), (F.col("_v") * slope * slope).alias("h")
+        )
+        both = terms.select(F.explode(F.array(for_source, for_item)).alias("t")).select("t.*")
+        summed = both.groupBy("source", "item_no").agg(F.first("now").alias("now"), F.sum("g").alias("g"), F.sum("h").alias("h"))
         is_skill = F.col("source").isNotNull()
         prior, precision = F.when(is_skill, 1.0).otherwise(0.0), F.when(is_skill, 1.0).otherwise(EASE_PRECISION)
         step = (F.col("g") - (F.col("now") - prior) * precision) / (F.col("h") + precision)
         bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step))
-        parameters = cut(summed.select("source", "task", "item", (F.col("now") + bounded).alias("value")))
-        before = (skills, eases)
+        parameters = cut(summed.select("source", "item_no", (F.col("now") + bounded).alias("value")))
+        before = skills
         skills = parameters.filter("source IS NOT NULL").select("source", F.col("value").alias("skill"))
-        eases = parameters.filter("item IS NOT NULL").select("task", "item", F.col("value").alias("log_ease"))
+        eases = parameters.filter("item_no IS NOT NULL").select("item_no", F.col("value").alias("log_ease"))
         skills._claimloom_path = parameters._claimloom_path
-        discard(before[0])
-    state = cut(_posteriors(votes, side(skills.select("source", "skill")), eases, tasks))
-    n_sources = votes.groupBy("task", "item").agg(F.countDistinct("source").alias("n_sources"))
-    posteriors = _label_rows(state).join(n_sources, ["task", "item"])
-    backed = votes.join(_label_rows(state), ["task", "item", "label"]).groupBy("source")
+        discard(before)
+    by_label = cut(_label_rows(_posteriors(coded, side(skills.select("source", "skill")), eases)))
+    n_sources = coded.groupBy("item_no").agg(F.countDistinct("source").alias("n_sources"))
+    named = by_label.join(n_sources, "item_no").join(items, "item_no").join(labels.select("label_no", "label"), "label_no")
+    backed = coded.join(by_label, ["item_no", "label_no"]).groupBy("source")
     annotators = backed.agg(F.avg("p").alias("reliability"), F.count(F.lit(1)).alias("n_labels")).join(skills, "source")
-    return Consensus(votes, posteriors, annotators)
+    return Consensus(votes, named.select("task", "item", "label", "p", "n_sources", "log_ease"), annotators)
 
 
 def consensus_labels(result: Consensus) -> DataFrame:
