@@ -499,6 +499,8 @@ SQL = {
     "inspect_pair": f"WITH {_ROWS}, {_MAPS}, {_TWO} SELECT p AS product_id, a AS attribute, verdict, text_a, text_b FROM ins",
     "inspect_totals": f"WITH {_ROWS}, {_MAPS}, {_TWO} SELECT count(*) FILTER (verdict = 'MATCH') AS matches, count(*) FILTER (verdict <> 'MATCH') AS disagreements FROM ins",
     "source_graph": f"WITH {_E} SELECT x.s AS source_a, y.s AS source_b, count(*) AS weight FROM e x JOIN e y ON x.c = y.c AND x.s < y.s GROUP BY ALL",
+    "connected_components": f"""WITH RECURSIVE {_E}, cc(s, r) AS (SELECT DISTINCT s, s FROM e UNION SELECT y.s, cc.r FROM cc JOIN e x ON x.s = cc.s JOIN e y ON y.c = x.c AND y.s <> x.s)
+        SELECT s AS source_id, min(r) AS component FROM cc GROUP BY s""",
     "expected_visits": f"{_walk(STEPS)} SELECT s AS source_id, round(visits, 10) AS visits FROM vis",
     "visit_share": f"{_walk(STEPS)}, {_N}, t AS (SELECT s, round(visits / sum(visits) OVER () * 100, 8) AS percent FROM vis ORDER BY 2 DESC, s LIMIT 20) SELECT s AS source_id, percent, {_NAME} FROM t LEFT JOIN nm USING (s)",
     "random_walks": _monte_carlo(5000, 4),

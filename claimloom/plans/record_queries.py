@@ -103,7 +103,40 @@ _USABLE = f"""CASE WHEN d.value_type = 'number' THEN coalesce(value_numeric > 0
   OR coalesce(regexp_matches({_NUMBER_TEXT}, '[1-9]') AND NOT regexp_matches(value_string, '^[^a-zA-Z0-9]*[-−] ?[0-9]'), false)
 ELSE coalesce(regexp_matches(value_string, '[\\p{{L}}\\p{{N}}]') AND lower(trim(value_string)) NOT IN ({_STAND_INS}), false) END"""
 
+
+
+def _snapshots(name: str, key: str, parent: str, parent_key: str) -> str:
+    return f"""SELECT '{name}' AS ref_table, strftime(month, '%Y-%m') AS month, opened, closed, (sum(opened - closed) OVER (ORDER BY month))::BIGINT AS pending FROM (
+WITH st AS (SELECT {parent_key} AS k, loaded_at AS l, coalesce(deleted_at, TIMESTAMP '9999-12-31') AS e FROM {parent}
+  WHERE {parent_key} IS NOT NULL AND loaded_at IS NOT NULL AND (deleted_at IS NULL OR deleted_at > loaded_at)),
+sn AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM st),
+gp AS (SELECT k, b AS f, l AS t FROM sn WHERE b IS NULL OR b < l UNION ALL SELECT k, max(e), NULL FROM st GROUP BY k HAVING max(e) < TIMESTAMP '9999-12-31'),
+rf AS (SELECT {key} AS k, ingested_at AS t FROM {name} WHERE {key} IS NOT NULL AND ingested_at IS NOT NULL),
+ep AS (SELECT rf.t AS o, gp.t AS c FROM rf LEFT JOIN gp ON gp.k = rf.k AND (gp.f IS NULL OR gp.f <= rf.t) AND (gp.t IS NULL OR gp.t > rf.t)
+  WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.k = rf.k AND st.l <= rf.t AND st.e > rf.t)
+  UNION ALL SELECT gp.f, gp.t FROM rf JOIN gp ON gp.k = rf.k AND gp.f > rf.t)
+SELECT month, sum(a)::BIGINT AS opened, sum(z)::BIGINT AS closed FROM (SELECT date_trunc('month', o) AS month, 1 AS a, 0 AS z FROM ep
+  UNION ALL SELECT date_trunc('month', c), 0, 1 FROM ep WHERE c IS NOT NULL) GROUP BY month)"""
+
+
+#: Rows whose quantity is not in the common unit: units by spelling, unstated ones by size bounds read off these tables.
+_CONVERTED = f"""WITH r AS (SELECT row_id, {_KEY.format("canonical_attribute")} AS a, lower(value_string) AS x, unit,
+  CASE WHEN value_numeric > 0 AND NOT isnan(value_numeric) AND NOT isinf(value_numeric) THEN value_numeric END AS v FROM source_claims),
+q AS (SELECT *, regexp_extract(x, '[0-9]([0-9.,]*[0-9])?') AS tok, regexp_extract(x, '[0-9]([0-9.,]*[0-9])? *-? *([a-z]+|"|″)', 2) AS w,
+  regexp_replace(lower(unit), '[. ]', '', 'g') AS u FROM r WHERE a IN ('ramgb', 'storagegb', 'screensize', 'batterylifehr', 'weightlb')),
+n AS (SELECT *, coalesce(v > 0, regexp_matches(tok, '[1-9]') AND NOT regexp_matches(x, '^[^a-z0-9]*[-−] ?[0-9]')) AS usable,
+  CASE WHEN w IN ('mb', 'mbyte', 'megabytes', 'tb', 'tbyte', 'terabyte', 'cm', 'centimetres', 'mm', 'millimeter', 'min', 'mins', 'minutes', 's', 'kg', 'kgs', 'kilo',
+    'kilograms', 'g', 'gramm', 'grams', 'oz', 'ounces') THEN 'other'
+  WHEN w IN ('gb', 'gbyte', 'gigabyte', 'gigabytes', 'in', 'inch', 'inches', 'zoll', '"', '″', 'h', 'hr', 'hrs', 'hours', 'std', 'heures', 'lb', 'lbs', 'pounds') THEN 'common'
+  WHEN u IN ('mb', 'mbyte', 'megabytes', 'tb', 'tbyte', 'terabyte', 'cm', 'centimetres', 'mm', 'millimeter', 'min', 'mins', 'minutes', 's', 'kg', 'kgs', 'kilo',
+    'kilograms', 'g', 'gramm', 'grams', 'oz', 'ounces') THEN 'other' WHEN u IS NOT NULL THEN 'common' END AS k FROM q)
+SELECT row_id FROM n WHERE usable AND (k = 'other' OR (v IS NULL AND regexp_matches(x, '[0-9]:[0-9]+ *h:min'))
+  OR (v IS NULL AND regexp_matches(x, '(lbs?|h|hours?)[., ]*[1-9][0-9]* *(oz|ounces|min|minutes)'))
+  OR (k IS NULL AND CASE a WHEN 'ramgb' THEN v >= 1024 WHEN 'storagegb' THEN v <= 16 OR v >= 65536 WHEN 'screensize' THEN v > 25 WHEN 'batterylifehr' THEN v > 60 ELSE v > 50 END))"""
+
 SQL = {
+    "p1_snapshots": " UNION ALL ".join(f"(SELECT * FROM ({_snapshots(*r)}))" for r in REFERENCES),
+    "p3_found": _CONVERTED,
     "p2_found": f"""SELECT product_id, d.attribute FROM source_claims s JOIN attribute_defs d
 ON {_KEY.format("s.canonical_attribute")} = {_KEY.format("d.attribute")} WHERE product_id IS NOT NULL
 GROUP BY ALL HAVING NOT bool_or({_USABLE})""",
