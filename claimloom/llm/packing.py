@@ -12,6 +12,7 @@ times the least possible number of bins: then the tightest bin takes the item, f
 
 from __future__ import annotations
 
+import base64
 import os
 from collections.abc import Iterator
 
@@ -27,27 +28,49 @@ CAPACITY = 2048
 #: Tokens per shard: about 2,000 bins of the default capacity. More bins fill little better; memory is a few dozen bytes a piece.
 SHARD_TOKENS = 4_000_000
 SLACK = 0.02
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: the split pattern of the byte-level rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHINGLE, NEAR = 5, 0.8
 
 PLACED = "doc_id bigint, piece int, start_token bigint, n_tokens int, container_id bigint, conflict boolean"
 
 
-def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n_tokens`` of every document with text, by a public tokenizer file; its special strings count as text."""
+def _counter(tokenizer: str, pattern: str):
+    """Token counts of a list of texts: by ``tiktoken`` for rank files, by ``tokenizers`` for JSON files."""
+    if tokenizer.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(tokenizer, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(model.encode_ordinary(t)) for t in texts]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer)
+    model.encode_special_tokens = True
+
+    def count(texts: list[str]) -> list[int]:
+        sizes: list[int] = []
+        for k in range(0, len(texts), 64):  # encodings hold offsets too, so a few texts at a time
+            sizes += [len(e.ids) for e in model.encode_batch(texts[k : k + 64], add_special_tokens=False)]
+        return sizes
+
+    return count
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
+def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+    """``doc_id, n_tokens`` of every document with text, by a public tokenizer file; its special strings count as text.
+
+    ``pattern`` splits text before the merges of a rank file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _counter(tokenizer, pattern)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            sizes: list[int] = []
-            for k in range(0, len(texts), 64):  # encodings hold offsets too, so a few texts at a time
-                sizes += [len(e.ids) for e in model.encode_batch(texts[k : k + 64], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, type=pa.int64())], names=["doc_id", "n_tokens"])
+            sizes = count(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int64())], names=["doc_id", "n_tokens"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").dropna()
     return texts.mapInArrow(run, "doc_id bigint, n_tokens bigint")
@@ -74,8 +97,8 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
     Documents of their own get themselves. Links join classes of equal shingle sets only, so copies add none.
     Labels spread by minimum until none changes; every round is written and read back.
     """
-    # bands of 3 rows: a pair at 0.8 is missed with probability (1 - 0.512) ** 24 < 4e-8
-    found = similar.similar_sets(shingles(docs), threshold=threshold, bands=24, rows=3)
+    # bands of 3 rows: a pair at 0.8 is missed with probability (1 - 0.512) ** 18 < 3e-6
+    found = similar.similar_sets(shingles(docs), threshold=threshold, bands=18, rows=3)
     links = cut(found.links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))

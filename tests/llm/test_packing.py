@@ -76,6 +76,9 @@ def test_documents(spark):
     rows = packing.pack_documents(docs, 256).collect()
     assert {r.doc_id for r in rows} == set(range(len(texts))) - {3, 4}
     sizes = {r.doc_id: r.n_tokens for r in packing.count_tokens(docs).collect()}
+    other = packing.TOKENIZER.replace(".tiktoken", ".json")
+    if os.path.exists(other):
+        assert {r.doc_id: r.n_tokens for r in packing.count_tokens(docs, other).collect()} == sizes
     assert sizes[4] == 0 and sizes[6] > 5 and sizes[7] >= 5000
     check(rows, [(i, sizes.get(i), None, None) for i in range(len(texts))], 256)
     homes = [r.container_id for r in rows if r.doc_id in (0, 1, 2)]
