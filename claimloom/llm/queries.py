@@ -151,7 +151,20 @@ QUERIES = {
     for f in (p4_found, p5_found, p5_reliability, p5_agreement, p6_found, p6_sources, p7_found, p7_pairs, p7_two_batches, p8_containers, p8_fill, p9_found, p9_leaks, p9_clean, p10_found, p10_units)
 }
 
+_VOTES = f"""v AS (SELECT DISTINCT source_id AS s, CASE regexp_replace(lower(canonical_attribute), '[^a-z0-9]', '', 'g') WHEN 'wifistandard' THEN 'wifi_standard'
+  WHEN 'bluetoothversion' THEN 'bluetooth_version' WHEN 'touchscreen' THEN 'touchscreen' END AS t, product_id AS i, lower(trim(value_string)) AS l FROM source_claims
+  WHERE regexp_matches(value_string, '[\\p{{L}}\\p{{N}}]') AND lower(trim(value_string)) NOT IN ({", ".join("'" + w + "'" for w in A.STAND_INS)})),
+d AS (SELECT * FROM v WHERE s IS NOT NULL AND t IS NOT NULL AND i IS NOT NULL)"""
+
 SQL: dict[str, str] = {
+    "p5_agreement": f"""WITH {_VOTES}, c AS (SELECT t, i, l, count(*) AS n FROM d GROUP BY ALL), p AS (SELECT *, sum(n) OVER (PARTITION BY t, i) AS m FROM c),
+        b AS (SELECT t, l, sum(n) AS n, sum(n * (n - 1) / (m - 1)::DOUBLE) AS g FROM p WHERE m > 1 GROUP BY ALL),
+        z AS (SELECT t, sum(n)::BIGINT AS n, sum(g) AS g, sum(n * (n - 1)) AS e FROM b GROUP BY t)
+        SELECT t AS task, n AS n_votes, round(g / n, 9) AS observed, round(e / (n * (n - 1))::DOUBLE, 9) AS expected,
+        round(1 - (1 - g / n) / (1 - e / (n * (n - 1))::DOUBLE), 9) AS alpha FROM z""",
+    "p6_sources": f"""{_SIMILAR}, k AS (SELECT s, count(*) AS size, string_agg(c, ',' ORDER BY c) AS f FROM e GROUP BY s HAVING count(*) >= 5),
+        m AS (SELECT s, min(s) OVER (PARTITION BY f) AS class_id, size FROM k), w AS (SELECT a AS s FROM l UNION ALL SELECT b FROM l)
+        SELECT s AS source_id, class_id, size, (SELECT count(*) FROM w WHERE w.s = m.s) AS n_links FROM m""",
     "p6_found": f"{_SIMILAR} SELECT a AS source_id_a, b AS source_id_b FROM l",
     "p7_found": f"{_PAIRS} SELECT claim_id_a, claim_id_b FROM r WHERE n_ab * n_baskets >= 4 * n_a * n_b",
     "p7_pairs": f"{_PAIRS} SELECT *, round(n_ab * n_baskets / (n_a * n_b)::DOUBLE, 9) AS lift FROM r",
