@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from claimloom.session import cut
 
-REFS = "row_id bigint, key bigint, at timestamp"
-STAYS = "key bigint, loaded_at timestamp, deleted_at timestamp"
-EPISODES = "row_id bigint, key bigint, opened_at timestamp, closed_at timestamp"
+#: Of the two kinds of timestamp an empty state takes that of the first batch.
+REFS = "row_id bigint, key bigint, at timestamp_ntz"
+STAYS = "key bigint, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
+EPISODES = "row_id bigint, key bigint, opened_at timestamp_ntz, closed_at timestamp_ntz"
 
 
 @dataclass
@@ -74,7 +75,8 @@ def probe(refs: DataFrame, stays: DataFrame) -> DataFrame:
 def gaps(stays: DataFrame) -> DataFrame:
     """The spans (from, to) in which a known key has no stay; ``from`` null: before the first, ``to`` null: after the last."""
     by_key = Window.partitionBy("key").orderBy("loaded_at")
-    forever = F.lit("9999-12-31 00:00:00").cast("timestamp")
+    kind = stays.schema["deleted_at"].dataType
+    forever = F.lit("9999-12-31 00:00:00").cast(kind)
     ends = stays.select("key", "loaded_at", F.coalesce("deleted_at", forever).alias("_end"))
     seen = ends.withColumn("_before", F.max("_end").over(by_key.rowsBetween(Window.unboundedPreceding, -1)))
     between = seen.filter(F.col("_before").isNull() | (F.col("_before") < F.col("loaded_at"))).select(
@@ -82,7 +84,7 @@ def gaps(stays: DataFrame) -> DataFrame:
     )
     after = (
         ends.groupBy("key").agg(F.max("_end").alias("_end")).filter(F.col("_end") < forever)
-        .select("key", F.col("_end").alias("gap_from"), F.lit(None).cast("timestamp").alias("gap_to"))
+        .select("key", F.col("_end").alias("gap_from"), F.lit(None).cast(kind).alias("gap_to"))
     )
     return between.unionByName(after)
 
