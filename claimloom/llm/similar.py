@@ -2,7 +2,8 @@
 
 Sets that are equal are one class (a 128-bit order-free fingerprint and the size), so copies cost one
 signature and no candidates among themselves. Each class gets ``bands * rows`` minwise hashes; classes
-that share the hashes of any band are candidates, once each; their exact Jaccard is then counted.
+that share the hashes of any band are candidates, unless two bits of each hash tell that they are far
+below the threshold; the exact Jaccard of the candidates, once each, is then counted.
 A pair at the threshold is missed with probability ``(1 - threshold ** rows) ** bands``: below 2e-6
 for 20 bands of 2 at 0.7. A set that holds a large share of all elements is split by element before
 hashing, and the partial minima are merged.
@@ -10,7 +11,9 @@ hashing, and the partial minima are merged.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,14 +52,30 @@ def _classes(elements: DataFrame, min_size: int) -> DataFrame:
 
 
 def _signatures(elements: DataFrame, heads: DataFrame, bands: int, rows: int) -> DataFrame:
-    """One row per class and band: ``class_id, size, band, bucket``."""
+    """One row per class and band: ``class_id, size, low, high, band, bucket``; ``low`` and ``high`` hold two bits of up to 64 hashes."""
     parts = F.when(F.col("size") > PART, F.pmod(F.hash("element"), F.ceil(F.col("size") / PART).cast("int"))).otherwise(0)
     placed = elements.join(heads, "set_id").withColumn("part", parts).repartition("set_id", "part")
     minima = [F.min(F.hash(F.lit(i), F.col("element"))).alias(f"m{i}") for i in range(bands * rows)]
     partial = placed.groupBy("set_id", "part").agg(F.max("size").alias("size"), *minima)  # on the partitioning just made
     whole = partial.groupBy("set_id").agg(F.max("size").alias("size"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(bands * rows)])
     banded = F.array(*[F.xxhash64(*[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
-    return whole.select(F.col("set_id").alias("class_id"), "size", F.posexplode(banded).alias("band", "bucket"))
+    n = min(bands * rows, 64)
+    bits = [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.shiftright(f"m{i}", b).bitwiseAND(F.lit(1)).cast("bigint"), i) for i in range(n)]) for b in (0, 1)]
+    named = whole.select(F.col("set_id").alias("class_id"), "size", bits[0].alias("low"), bits[1].alias("high"), banded.alias("_b"))
+    return named.select("class_id", "size", "low", "high", F.posexplode("_b").alias("band", "bucket"))
+
+
+def fewest_alike(n: int, threshold: float, miss: float = 1e-7) -> int:
+    """The most bit pairs, of ``n``, that a pair at the threshold falls short of with probability under ``miss``.
+
+    Two bits agree where the hashes do, and by chance in a quarter of the other cases.
+    """
+    p, below = threshold + (1 - threshold) / 4, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > miss:
+            return k
+    return n
 
 
 def similar_sets(
@@ -72,11 +91,13 @@ def similar_sets(
     classes = cut(_classes(elements, min_size))
     heads = classes.filter(F.col("set_id") == F.col("class_id")).select("set_id", "size")
     banded = cut(_signatures(elements, heads, bands, rows))
-    a = banded.select(F.col("class_id").alias("class_a"), F.col("size").alias("size_a"), "band", "bucket")
-    b = banded.select(F.col("class_id").alias("class_b"), F.col("size").alias("size_b"), "band", "bucket")
+    side = lambda s: banded.select(*[F.col(c).alias(f"{c.removesuffix('_id')}_{s}") for c in ("class_id", "size", "low", "high")], "band", "bucket")
+    a, b = side("a"), side("b")
+    n = min(bands * rows, 64)
+    unlike = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b")).bitwiseOR(F.col("high_a").bitwiseXOR(F.col("high_b"))))
     near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (threshold - 1e-9)
     candidates = cut(
-        a.join(b, ["band", "bucket"]).filter((F.col("class_a") < F.col("class_b")) & near)
+        a.join(b, ["band", "bucket"]).filter((F.col("class_a") < F.col("class_b")) & near & (unlike <= n - fewest_alike(n, threshold)))
         .select("class_a", "class_b", "size_a", "size_b").distinct()
     )
     asked = candidates.select(F.col("class_a").alias("set_id")).unionByName(candidates.select(F.col("class_b").alias("set_id"))).distinct()
