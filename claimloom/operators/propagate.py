@@ -5,14 +5,21 @@ One parameterised operator covers the family of rules. Per round a claim gets th
 (edge weight, split by source degree) and is computed once; a source then gets the sum, the mean or the
 claim-split sum over its claims. Scores are scaled to sum 1.
 
+More than ``SMALL_EDGES`` edges are partitioned by claim once and kept (memory, then disk; lost parts are
+made again from the written table), and scores of up to ``BROADCAST_SOURCES`` sources are sent to them.
+The claim step and its join back then need no exchange, and a round moves only one partial score per source
+and partition, whatever the number of edges. Fewer edges are quicker read again than kept.
+
 Both steps are linear, so a fixed number of rounds is one lazy plan that is scaled once at the end. Runs
 until convergence write each vector to the shared folder, which ends its lineage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +27,9 @@ from claimloom.session import cut, discard
 
 #: Rounds in one lazy plan; the vector is written in between, so plans stay small and sums stay finite.
 ROUNDS_A_PLAN = 10
+SMALL_EDGES = 20_000_000
+#: A score row takes some 50 bytes in a broadcast table.
+BROADCAST_SOURCES = 1_000_000
 
 
 @dataclass
@@ -80,13 +90,31 @@ def normalise(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(total)).select("source_id", scaled.alias("score"))
 
 
-def claim_step(prepared: DataFrame, scores: DataFrame) -> DataFrame:
-    joined = prepared.select("source_id", "claim_id", "down").join(scores, "source_id")
+@dataclass
+class Rounds:
+    """Prepared edges, written and ready for many rounds, and how scores get to them."""
+
+    edges: DataFrame
+    send: Callable[[DataFrame], DataFrame]
+
+
+def ready(prepared: DataFrame, small: int | None = None, broadcast_limit: int = BROADCAST_SOURCES) -> Rounds:
+    written = cut(prepared)
+    if written.count() <= (SMALL_EDGES if small is None else small):
+        return Rounds(written, lambda scores: scores)
+    n = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = written.repartition(n, "claim_id").persist(StorageLevel.MEMORY_AND_DISK)
+    few = written.select("source_id").distinct().limit(broadcast_limit + 1).count() <= broadcast_limit
+    return Rounds(kept, F.broadcast if few else lambda scores: scores)
+
+
+def claim_step(rounds: Rounds, scores: DataFrame) -> DataFrame:
+    joined = rounds.edges.select("source_id", "claim_id", "down").join(rounds.send(scores), "source_id")
     return joined.groupBy("claim_id").agg(F.sum(F.col("score") * F.col("down")).alias("support"))
 
 
-def source_step(prepared: DataFrame, support: DataFrame) -> DataFrame:
-    joined = prepared.select("source_id", "claim_id", "up").join(support, "claim_id")
+def source_step(rounds: Rounds, support: DataFrame) -> DataFrame:
+    joined = rounds.edges.select("source_id", "claim_id", "up").join(support, "claim_id")
     return joined.groupBy("source_id").agg(F.sum(F.col("support") * F.col("up")).alias("score"))
 
 
@@ -100,27 +128,27 @@ def max_difference(first: DataFrame, second: DataFrame) -> float:
     return found.d or 0.0
 
 
-def run_fixed(prepared: DataFrame, scores: DataFrame, iterations: int) -> Propagation:
+def run_fixed(rounds: Rounds, scores: DataFrame, iterations: int) -> Propagation:
     """A fixed number of rounds, lazily, scaled after each plan's worth of them."""
-    support = claim_step(prepared, scores)
+    support = claim_step(rounds, scores)
     for k in range(iterations):
         if k and k % ROUNDS_A_PLAN == 0:
             scores = cut(normalise(scores))
-        support = claim_step(prepared, scores)
-        scores = source_step(prepared, support)
+        support = claim_step(rounds, scores)
+        scores = source_step(rounds, support)
     return Propagation(normalise(scores) if iterations else scores, support, iterations)
 
 
-def run_until_convergence(prepared: DataFrame, scores: DataFrame, tolerance: float = 1e-8, max_iterations: int = 1000) -> Propagation:
+def run_until_convergence(rounds: Rounds, scores: DataFrame, tolerance: float = 1e-8, max_iterations: int = 1000) -> Propagation:
     """Rounds until the largest change after scaling is below ``tolerance``; at the cap the last vector is returned."""
     deltas: list[float] = []
     current = cut(scores)
-    support = claim_step(prepared, current)
+    support = claim_step(rounds, current)
     previous = None
     for _ in range(max_iterations):
-        support = claim_step(prepared, current)
-        after = cut(normalise(source_step(prepared, support)))
-        deltas.append(max_difference(current, after) if current.schema else 0.0)
+        support = claim_step(rounds, current)
+        after = cut(normalise(source_step(rounds, support)))
+        deltas.append(max_difference(current, after))
         if previous is not None:
             discard(previous)
         previous, current = current, after
@@ -150,8 +178,8 @@ def propagate(
     With ``fixed_iterations`` the plan is lazy. An empty graph converges in one round to an empty vector.
     """
     split, combine = RULES[rule]
-    prepared = cut(prepare(edges, weights=weights, split_by_source_degree=split, source_combine=combine))
+    rounds = ready(prepare(edges, weights=weights, split_by_source_degree=split, source_combine=combine))
     scores = uniform(edges) if init is None else init
     if fixed_iterations is not None:
-        return run_fixed(prepared, scores, fixed_iterations)
-    return run_until_convergence(prepared, scores, tolerance, max_iterations)
+        return run_fixed(rounds, scores, fixed_iterations)
+    return run_until_convergence(rounds, scores, tolerance, max_iterations)

@@ -20,11 +20,11 @@ def expected_visits(edges: DataFrame, start: int, steps: int) -> DataFrame:
     A walker picks a claim of its source, then a source of that claim, each with equal chance, and may
     come back to where it was. A start without claims is not in the graph: no rows.
     """
-    prepared = cut(propagate.prepare(edges, source_combine="claim_split"))
+    rounds = propagate.ready(propagate.prepare(edges, source_combine="claim_split"))
     now = edges.filter(F.col("source_id") == F.lit(start)).select("source_id").distinct().withColumn("score", F.lit(1.0))
     seen = [now]
     for k in range(steps):
-        now = propagate.source_step(prepared, propagate.claim_step(prepared, now))
+        now = propagate.source_step(rounds, propagate.claim_step(rounds, now))
         if (k + 1) % STEPS_A_PLAN == 0 and k + 1 < steps:
             now = cut(now)
         seen.append(now)

@@ -79,6 +79,16 @@ def test_two_tied_components_depend_on_the_start(spark):
     assert scores(propagate.propagate(tied, start, rule="v4")) == pytest.approx({1: 0.9, 2: 0.1})
 
 
+@pytest.mark.parametrize("rule", list(propagate.RULES))
+def test_kept_edges_give_the_same(toy, rule, monkeypatch):
+    plain = scores(propagate.propagate(toy, rule=rule, fixed_iterations=3))
+    monkeypatch.setattr(propagate, "SMALL_EDGES", 0)
+    assert scores(propagate.propagate(toy, rule=rule, fixed_iterations=3)) == pytest.approx(plain)
+    split, combine = propagate.RULES[rule]
+    shuffled = propagate.ready(propagate.prepare(toy, split_by_source_degree=split, source_combine=combine), broadcast_limit=1)
+    assert scores(propagate.run_fixed(shuffled, propagate.uniform(toy), 3)) == pytest.approx(plain)
+
+
 def test_unknown_rule(toy):
     with pytest.raises(ValueError):
         propagate.prepare(toy, source_combine="median")
