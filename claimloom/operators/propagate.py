@@ -79,7 +79,8 @@ def uniform(edges: DataFrame) -> DataFrame:
 
 def seeded(edges: DataFrame, seed: int = 1) -> DataFrame:
     """Scores drawn by a generator on the id, the same under any partitioning, scaled to sum 1."""
-    drawn = ((F.col("source_id") * 48271 + seed * 69621) % 2147483647 * 48271) % 2147483647 + 1
+    prime = F.lit(2147483647)
+    drawn = ((F.pmod("source_id", prime) * 48271 + seed * 69621) % prime * 48271) % prime + 1
     return normalise(edges.select("source_id").distinct().withColumn("score", drawn.cast("double")))
 
 

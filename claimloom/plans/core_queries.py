@@ -368,7 +368,8 @@ def _chain(rounds: int, split: bool, combine: str, weighted: bool = False, seede
     down = ("coalesce(w, 1.0)" if weighted else "1.0") + (" / d" if split else "")
     up = {"sum": "1.0", "mean": "1.0 / d", "claim_split": "1.0 / n"}[combine]
     left = " LEFT JOIN wt USING (s, c)" if weighted else ""
-    start = "(((s * 48271 + 69621) % 2147483647 * 48271) % 2147483647 + 1)::DOUBLE" if seeded else "1.0"
+    own = "((s % 2147483647 + 2147483647) % 2147483647)"
+    start = f"((({own} * 48271 + 69621) % 2147483647 * 48271) % 2147483647 + 1)::DOUBLE" if seeded else "1.0"
     parts = [
         f"{p}g AS MATERIALIZED (SELECT s, c, {down} AS dn, {up} AS up FROM e JOIN (SELECT s, count(*) AS d FROM e GROUP BY s) USING (s)"
         f" JOIN (SELECT c, count(*) AS n FROM e GROUP BY c) USING (c){left})",

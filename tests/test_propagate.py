@@ -13,8 +13,12 @@ def toy(spark):
     return readers.literal_graph(spark, TOY).edges
 
 
+def scores_of(vector):
+    return {r.source_id: r.score for r in vector.collect()}
+
+
 def scores(p):
-    return {r.source_id: r.score for r in p.scores.collect()}
+    return scores_of(p.scores)
 
 
 @pytest.mark.parametrize("rule", ["v0", "v2", "v4", "v7"])
@@ -73,6 +77,13 @@ def test_fixed_point_does_not_depend_on_the_start(spark):
     assert all(abs(r.change) < 1e-9 for r in result.changes.collect())
 
 
+def test_seeded_start(spark):
+    ids = readers.literal_graph(spark, {-5: [1], 0: [1], 7: [2], 2**62: [2]}).edges
+    first, other = (scores_of(propagate.seeded(ids.repartition(n), s)) for n, s in ((1, 1), (5, 2)))
+    assert all(v > 0 for v in first.values()) and sum(first.values()) == pytest.approx(1.0)
+    assert first == scores_of(propagate.seeded(ids.repartition(3), 1)) and first != other
+
+
 def test_two_tied_components_depend_on_the_start(spark):
     tied = readers.literal_graph(spark, {1: [1, 2], 2: [3, 4]}).edges
     start = spark.createDataFrame([(1, 0.9), (2, 0.1)], "source_id bigint, score double")
