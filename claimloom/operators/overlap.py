@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.sources import readers
+
 PROPERTY = ["product_id", "attribute"]
 
 
@@ -135,6 +137,15 @@ def inspect_pair(first: DataFrame, second: DataFrame) -> DataFrame:
     return joined.select(*PROPERTY, F.when(same, "MATCH").otherwise("DISAGREE").alias("verdict"), shown("a"), shown("b"))
 
 
+def inspect_domains(sources: DataFrame, assertions: DataFrame, domain_a: str, domain_b: str) -> DataFrame:
+    """``inspect_pair`` of two sources by domain, in order of product and attribute; an unknown domain is a ``ValueError``.
+
+    ``assertions`` has one ``value, unit`` per source and property.
+    """
+    first, second = (readers.source_rows(assertions, readers.lookup_source(sources, d)) for d in (domain_a, domain_b))
+    return inspect_pair(first, second).orderBy(*PROPERTY)
+
+
 def inspect_totals(listing: DataFrame) -> DataFrame:
     return listing.agg(
         F.count_if(F.col("verdict") == "MATCH").alias("matches"), F.count_if(F.col("verdict") == "DISAGREE").alias("disagreements")

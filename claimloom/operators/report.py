@@ -23,6 +23,17 @@ def top_sources(scores: DataFrame, n: int = 20, digits: int = 10) -> DataFrame:
     return scores.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), "source_id").limit(n)
 
 
+def top_sources_with_claims(scores: DataFrame, edges: DataFrame, n: int = 20, digits: int = 10) -> DataFrame:
+    """``top_sources`` with the number of claims of each."""
+    counts = edges.groupBy("source_id").agg(F.count(F.lit(1)).alias("claims"))
+    return top_sources(scores, n, digits).join(counts, "source_id", "left")
+
+
+def visit_totals(visits: DataFrame) -> DataFrame:
+    """How many sources were visited, and all visits."""
+    return visits.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("visits"), F.lit(0)).alias("visits"))
+
+
 def bottom_sources(scores: DataFrame, n: int = 20, digits: int = 10) -> DataFrame:
     return scores.withColumn("score", F.round("score", digits)).orderBy("score", "source_id").limit(n)
 

@@ -18,10 +18,10 @@ def expected_visits(edges: DataFrame, start: int, steps: int) -> DataFrame:
     """``source_id, visits``: expected visits within ``steps`` steps from ``start``, the start included.
 
     A walker picks a claim of its source, then a source of that claim, each with equal chance, and may
-    come back to where it was. A start without claims is not in the graph: no rows.
+    come back to where it was. A walk from a source without claims ends at once: its start is its one visit.
     """
     rounds = propagate.ready(propagate.prepare(edges, source_combine="claim_split"))
-    now = edges.filter(F.col("source_id") == F.lit(start)).select("source_id").distinct().withColumn("score", F.lit(1.0))
+    now = edges.sparkSession.range(1).select(F.lit(start).cast("bigint").alias("source_id"), F.lit(1.0).alias("score"))
     seen = [now]
     for k in range(steps):
         now = propagate.source_step(rounds, propagate.claim_step(rounds, now))
@@ -56,9 +56,7 @@ def random_walks(edges: DataFrame, start: int, walkers: int, steps: int, seed: i
     source_n = cut(edges.groupBy("source_id").agg(F.count(F.lit(1)).alias("_d")))
     claim_n = cut(edges.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_a")))
     spark = edges.sparkSession
-    at = spark.range(walkers).select(F.col("id").alias("walker"), F.lit(start).cast("bigint").alias("source_id")).join(
-        edges.filter(F.col("source_id") == F.lit(start)).select("source_id").distinct(), "source_id", "left_semi"
-    )
+    at = spark.range(walkers).select(F.col("id").alias("walker"), F.lit(start).cast("bigint").alias("source_id"))
     seen = [at]
     for step in range(steps):
         out = at.join(source_n, "source_id").select("walker", "source_id", (_draw(F.col("walker"), 2 * step, seed) % F.col("_d")).alias("at_source"))

@@ -135,6 +135,11 @@ def top_sources(spark, sf):
     return report.with_names(report.top_sources(_scores(spark, sf, "v7", True).scores), names(spark, sf))
 
 
+def top_sources_with_claims(spark, sf):
+    rows = report.top_sources_with_claims(_scores(spark, sf, "v0").scores, edges(spark, sf))
+    return report.with_names(rows, names(spark, sf))
+
+
 def bottom_sources(spark, sf):
     return report.with_names(report.bottom_sources(_scores(spark, sf, "v4").scores), names(spark, sf))
 
@@ -320,8 +325,15 @@ def random_walks(spark, sf):
     return walk.random_walks(edges(spark, sf), START, walkers=5000, steps=4)
 
 
+def visit_totals(spark, sf):
+    return report.visit_totals(walk.random_walks(edges(spark, sf), START, walkers=5000, steps=4))
+
+
 def unvisited_sources(spark, sf):
-    return walk.unvisited(names(spark, sf), walk.expected_visits(edges(spark, sf), START, 1))
+    """The sources that one step from the source of the smallest id cannot reach."""
+    e = edges(spark, sf)
+    start = e.agg(F.min("source_id").alias("s")).head().s
+    return walk.unvisited(names(spark, sf), walk.expected_visits(e, 0 if start is None else start, 1))
 
 
 def source_by_domain(spark, sf):
@@ -334,11 +346,11 @@ QUERIES = {
     for f in (
         source_names, source_by_domain, graph_stats, source_sizes, support_breakdown, source_overlap, propagate_v0, propagate_v1, propagate_v2,
         propagate_v4, propagate_weighted, propagate_paper, claim_support, convergence_history, converged_v3, init_difference, agreement_weights,
-        top_sources, bottom_sources, ranking_changes, saved_scores, top_claims, canonical_claims, canonical_support, skipped_claims,
+        top_sources, top_sources_with_claims, bottom_sources, ranking_changes, saved_scores, top_claims, canonical_claims, canonical_support, skipped_claims,
         skipped_examples, raw_claims, property_agreement, agreement_summary, agreement_distribution, worst_agreement, worst_agreement_values,
         remove_ambiguous, ambiguous_count, agreement_edges, edge_weight_distribution, weakest_edges, largest_disagreements, last_values,
         directional_inclusion, top_inclusion, structural_independence, rarity_overlap, top_rarity, inspect_pair, inspect_totals, source_graph,
-        communities, bridge_edges, connected_components, expected_visits, visit_share, random_walks, unvisited_sources,
+        communities, bridge_edges, connected_components, expected_visits, visit_share, random_walks, visit_totals, unvisited_sources,
     )
 }
 
@@ -413,9 +425,9 @@ ins AS (SELECT x.p, x.a, CASE WHEN x.v = y.v AND x.unit IS NOT DISTINCT FROM y.u
   FROM mp x JOIN mp y ON x.p = y.p AND x.a = y.a WHERE x.s = (SELECT min(s) FROM tw) AND y.s = (SELECT max(s) FROM tw))"""
 
 
-def _walk(steps: int) -> str:
+def _walk(steps: int, start: str = str(START)) -> str:
     p = f"""g AS MATERIALIZED (SELECT s, c, 1.0 / count(*) OVER (PARTITION BY s) AS dn, 1.0 / count(*) OVER (PARTITION BY c) AS up FROM e),
-w0 AS MATERIALIZED (SELECT DISTINCT s, 1.0::DOUBLE AS x FROM e WHERE s = {START})"""
+w0 AS MATERIALIZED (SELECT {start}::BIGINT AS s, 1.0::DOUBLE AS x)"""
     for k in range(1, steps + 1):
         p += f""", w{k} AS MATERIALIZED (SELECT s, sum(y * up) AS x FROM g JOIN (SELECT c, sum(x * dn) AS y FROM g JOIN w{k - 1} USING (s) GROUP BY c) USING (c) GROUP BY s)"""
     union = " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(steps + 1))
@@ -426,7 +438,7 @@ def _monte_carlo(walkers: int, steps: int) -> str:
     draw = lambda k: f"(((((walker + 1) * 48271) % 2147483647 + {k}) * 48271) % 2147483647 + 7919) * 48271 % 2147483647"
     p = f"""n AS MATERIALIZED (SELECT s, c, row_number() OVER (PARTITION BY s ORDER BY c) - 1 AS i, count(*) OVER (PARTITION BY s) AS d,
 row_number() OVER (PARTITION BY c ORDER BY s) - 1 AS j, count(*) OVER (PARTITION BY c) AS a FROM e),
-a0 AS MATERIALIZED (SELECT range AS walker, {START}::BIGINT AS s FROM range({walkers}) WHERE {START} IN (SELECT s FROM e))"""
+a0 AS MATERIALIZED (SELECT range AS walker, {START}::BIGINT AS s FROM range({walkers}))"""
     for k in range(steps):
         p += f""", b{k} AS MATERIALIZED (SELECT walker, n.c, n.a FROM a{k} JOIN n ON n.s = a{k}.s AND n.i = ({draw(2 * k)}) % n.d),
 a{k + 1} AS MATERIALIZED (SELECT walker, n.s FROM b{k} JOIN n ON n.c = b{k}.c AND n.j = ({draw(2 * k + 1)}) % n.a)"""
@@ -462,6 +474,9 @@ SQL = {
     "agreement_weights": f"WITH {_WEIGHTS} SELECT s AS source_id, c AS claim_id, round(w, 10) AS weight FROM wt",
     "top_sources": f"{_WSUM}, {_N} SELECT s AS source_id, round(x, 10) AS score, {_NAME} FROM x{K} LEFT JOIN nm USING (s) ORDER BY round(x, 10) DESC, s LIMIT 20",
     "bottom_sources": f"{_SUM}, {_N} SELECT s AS source_id, round(x, 10) AS score, {_NAME} FROM x{K} LEFT JOIN nm USING (s) ORDER BY round(x, 10), s LIMIT 20",
+    "top_sources_with_claims": f"""WITH {_E}, {_chain(K, False, 'mean')}, {_N}, t AS (SELECT s, round(x, 10) AS score FROM x{K} ORDER BY 2 DESC, s LIMIT 20)
+        SELECT s AS source_id, score, (SELECT count(*) FROM e WHERE e.s = t.s) AS claims, {_NAME} FROM t LEFT JOIN nm USING (s)""",
+    "visit_totals": f"SELECT count(*) AS sources, sum(visits)::BIGINT AS visits FROM ({_monte_carlo(5000, 4)})",
     "ranking_changes": _CHANGES,
     "saved_scores": f"{_SUM}, {_N} SELECT s AS source_id, coalesce(domain, s::VARCHAR) AS domain, round(x, 10) AS score FROM x{K} LEFT JOIN nm USING (s)",
     "top_claims": f"""{_SUM}, {_LAST_CLAIM}, t AS (SELECT c, round(y / sum(y) OVER (), 10) AS support FROM y{K} ORDER BY 2 DESC, c LIMIT 20)
@@ -505,5 +520,5 @@ SQL = {
     "expected_visits": f"{_walk(STEPS)} SELECT s AS source_id, round(visits, 10) AS visits FROM vis",
     "visit_share": f"{_walk(STEPS)}, {_N}, t AS (SELECT s, round(visits / sum(visits) OVER () * 100, 8) AS percent FROM vis ORDER BY 2 DESC, s LIMIT 20) SELECT s AS source_id, percent, {_NAME} FROM t LEFT JOIN nm USING (s)",
     "random_walks": _monte_carlo(5000, 4),
-    "unvisited_sources": f"{_walk(1)}, {_N} SELECT s AS source_id, domain FROM nm WHERE s NOT IN (SELECT s FROM vis)",
+    "unvisited_sources": f"{_walk(1, '(SELECT min(s) FROM e)')}, {_N} SELECT s AS source_id, domain FROM nm WHERE s NOT IN (SELECT s FROM vis)",
 }

@@ -90,4 +90,15 @@ def test_walks_stay_in_their_component(spark):
     assert {r.source_id: r.visits for r in walk.expected_visits(toy, 4, 3).collect()} == {4: pytest.approx(4)}
     counted = {r.source_id: r.visits for r in walk.random_walks(toy, 1, walkers=2000, steps=9).collect()}
     assert sum(counted.values()) == 20000 and counted[1] / 20000 == pytest.approx(0.55, abs=0.02)
-    assert walk.expected_visits(toy, 77, 3).count() == 0 and walk.random_walks(toy, 77, 10, 2).count() == 0
+    # a walk from a source without claims ends at once
+    assert [tuple(r) for r in walk.expected_visits(toy, 77, 3).collect()] == [(77, 1.0)]
+    assert [tuple(r) for r in walk.random_walks(toy, 77, 10, 2).collect()] == [(77, 10)]
+
+
+def test_inspect_domains(spark):
+    sources = spark.createDataFrame([(1, "a.example"), (2, "b.example")], "source_id bigint, domain string")
+    rows = [(1, "p", "x", "2", None), (2, "p", "x", "2", None), (2, "p", "y", "2", None)]
+    values = spark.createDataFrame(rows, "source_id bigint, product_id string, attribute string, value string, unit string")
+    assert [r.verdict for r in overlap.inspect_domains(sources, values, "a.example", "b.example").collect()] == ["MATCH"]
+    with pytest.raises(ValueError):
+        overlap.inspect_domains(sources, values, "a.example", "c.example")
