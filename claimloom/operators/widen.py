@@ -118,11 +118,13 @@ def widen(rows: DataFrame, defs: DataFrame, number: Column | None = None) -> Dat
     out. A product appears if any row names it with a known attribute. Numbers come as DOUBLE, texts
     and labels as STRING (labels in lower case), flags as BOOLEAN (null where the text is neither yes
     nor no). ``empty_columns`` holds the attributes that rows name but that got no usable value. An
-    empty table gives an empty result with the same columns.
+    empty table gives an empty result with the same columns; definitions without any attribute of a known
+    type give no rows of ``product_id, empty_columns``.
     """
     definitions = [d for d in A.read_definitions(defs) if d["type"] in SQL_TYPES]
     if not definitions:
-        raise ValueError("the attribute definitions hold no attribute of a known type")
+        none = rows.filter(F.lit(False))
+        return none.select(F.col("product_id").cast("string").alias("product_id"), F.array().cast("array<string>").alias("empty_columns"))
     kinds, names = [d["type"] for d in definitions], [d["attribute"] for d in definitions]
     fields = ["product_id string", *(f"`{n}` {SQL_TYPES[k]}" for n, k in zip(names, kinds)), "_empty array<int>"]
     arrow = {"double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}

@@ -282,7 +282,10 @@ def _two(spark, sf):
     """The two sources of most rows."""
     rows = _last(spark, sf)
     sizes = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = sorted(r.source_id for r in sizes.orderBy(F.desc("n"), "source_id").limit(2).collect())
+    largest = sorted(r.source_id for r in sizes.orderBy(F.desc("n"), "source_id").limit(2).collect())
+    if len(largest) < 2:
+        return rows.filter(F.lit(False)), rows.filter(F.lit(False))
+    a, b = largest
     return readers.source_rows(rows, a), readers.source_rows(rows, b)
 
 
