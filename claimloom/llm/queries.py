@@ -89,7 +89,7 @@ def p7_two_batches(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "assertions").select(F.col("source_id").alias("basket"), F.col("claim_id").alias("item"), "ingested_at")
     early = F.col("ingested_at") < F.lit("2024-01-01").cast("timestamp")
     state = together.load(rows.filter(early), min_support=6)
-    state = together.update(state, rows.filter(~early), rows.limit(0))
+    state = together.update(state, rows.filter(~early), rows.filter(F.lit(False)))
     found = together.associations(state)
     return found.select(F.col("item_a").alias("claim_id_a"), F.col("item_b").alias("claim_id_b"), "n_ab", "n_a", "n_b", "n_baskets")
 
