@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import attributes as A
 from claimloom.operators import agreement, canonical, community, overlap, propagate, report, walk
+from claimloom.plans import credibility
 from claimloom.session import cut, ensure_checkpoint_dir, table
 from claimloom.sources import readers
 
@@ -14,6 +15,10 @@ from claimloom.sources import readers
 K = 8
 STEPS = 6
 START = 7
+#: Rounds of the reference's v0 to v2; tolerance and cap of its runs to convergence.
+FULL_ROUNDS = 20
+TOLERANCE = 1e-8
+CAP = 1000
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,6 +124,41 @@ def converged_v3(spark, sf):
     return _rounded(propagate.propagate(edges(spark, sf), rule="v3", max_iterations=K))
 
 
+def _full(spark: SparkSession, sf: str, rule: str, init: DataFrame | None = None) -> DataFrame:
+    return _rounded(propagate.propagate(edges(spark, sf), init, rule=rule, fixed_iterations=FULL_ROUNDS))
+
+
+def full_v0(spark, sf):
+    """The v0 rule for all rounds of the reference."""
+    return _full(spark, sf, "v0")
+
+
+def full_v1(spark, sf):
+    """The v0 rule from a seeded start for all rounds of the reference."""
+    return _full(spark, sf, "v1", propagate.seeded(edges(spark, sf)))
+
+
+def full_v2(spark, sf):
+    return _full(spark, sf, "v2")
+
+
+def fixed_point_v3(spark, sf):
+    """The mean rule until convergence, by the reference's tolerance and cap."""
+    return _rounded(propagate.propagate(edges(spark, sf), rule="v3", tolerance=TOLERANCE, max_iterations=CAP))
+
+
+def credibility_run(spark, sf):
+    """The whole run: weighted, unweighted and seeded scores until convergence."""
+    e = edges(spark, sf)
+    graph = readers.CredibilityGraph(names(spark, sf), e, _weights(spark, sf))
+    result = credibility.run(graph, tolerance=TOLERANCE, max_iterations=CAP)
+    runs = {"credibility": result.credibility, "baseline": result.baseline, "from_seed": result.from_seed}
+    first, *rest = (p.scores.select("source_id", F.round("score", 10).alias(k)) for k, p in runs.items())
+    for other in rest:
+        first = first.join(other, "source_id")
+    return first.withColumn("same_fixed_point", F.lit(result.same_fixed_point))
+
+
 def init_difference(spark, sf):
     """The largest difference after some rounds between an equal and a seeded start."""
     e = edges(spark, sf)
@@ -349,6 +389,7 @@ QUERIES = {
     for f in (
         source_names, source_by_domain, graph_stats, source_sizes, support_breakdown, source_overlap, propagate_v0, propagate_v1, propagate_v2,
         propagate_v4, propagate_weighted, propagate_paper, claim_support, convergence_history, converged_v3, init_difference, agreement_weights,
+        full_v0, full_v1, full_v2, fixed_point_v3, credibility_run,
         top_sources, top_sources_with_claims, bottom_sources, ranking_changes, saved_scores, top_claims, canonical_claims, canonical_support, skipped_claims,
         skipped_examples, raw_claims, property_agreement, agreement_summary, agreement_distribution, worst_agreement, worst_agreement_values,
         remove_ambiguous, ambiguous_count, agreement_edges, edge_weight_distribution, weakest_edges, largest_disagreements, last_values,
@@ -404,6 +445,20 @@ def _propagated(split: bool, combine: str, **options) -> str:
     return f"WITH {_E}{weights}, {_chain(K, split, combine, **options)} SELECT s AS source_id, round(x, 10) AS score FROM x{K}"
 
 
+def _rounds_20(split: bool, combine: str, **options) -> str:
+    return f"WITH {_E}, {_chain(FULL_ROUNDS, split, combine, **options)} SELECT s AS source_id, round(x, 10) AS score FROM x{FULL_ROUNDS}"
+
+
+def _fixed_point(prefix: str, split: bool, combine: str, **options) -> str:
+    """Tables of a run until convergence; the last is ``{prefix}fp`` (s, x). Needs RECURSIVE."""
+    p = prefix
+    return f"""{_chain(0, split, combine, prefix=p, **options)}, {p}lo(k, s, x, delta) AS (SELECT 0, s, x, 1e9::DOUBLE FROM {p}x0 UNION ALL
+SELECT k, s, x, max(abs(x - was)) OVER () FROM (SELECT n.k, n.s, n.z / sum(n.z) OVER () AS x, o.x AS was FROM
+  (SELECT max(k) + 1 AS k, s, sum(y * up) AS z FROM {p}g JOIN (SELECT max(k) AS k, c, sum(x * dn) AS y FROM {p}g JOIN {p}lo USING (s)
+    WHERE k < {CAP} AND delta >= {TOLERANCE} GROUP BY c) USING (c) GROUP BY s) n JOIN {p}lo o USING (s))),
+{p}fp AS MATERIALIZED (SELECT s, x FROM {p}lo WHERE k = (SELECT max(k) FROM {p}lo))"""
+
+
 _SUM = f"WITH {_E}, {_chain(K, True, 'sum')}"
 _WSUM = f"WITH {_E}, {_WEIGHTS}, {_chain(K, True, 'sum', weighted=True)}"
 _TENTH = """CASE WHEN (20 * {0}) % {1} = 0 AND (20 * {0} // {1}) % 2 = 1
@@ -468,6 +523,14 @@ SQL = {
     "propagate_v1": _propagated(False, "mean", seeded=True),
     "propagate_v2": _propagated(True, "mean"),
     "converged_v3": _propagated(True, "mean"),
+    "full_v0": _rounds_20(False, "mean"),
+    "full_v1": _rounds_20(False, "mean", seeded=True),
+    "full_v2": _rounds_20(True, "mean"),
+    "fixed_point_v3": f"WITH RECURSIVE {_E}, {_fixed_point('', True, 'mean')} SELECT s AS source_id, round(x, 10) AS score FROM fp",
+    "credibility_run": f"""WITH RECURSIVE {_E}, {_WEIGHTS}, {_fixed_point('w', True, 'sum', weighted=True)}, {_fixed_point('b', True, 'sum')},
+        {_fixed_point('r', True, 'sum', weighted=True, seeded=True)}
+        SELECT s AS source_id, round(wfp.x, 10) AS credibility, round(bfp.x, 10) AS baseline, round(rfp.x, 10) AS from_seed,
+        max(abs(wfp.x - rfp.x)) OVER () < {credibility.SAME_FIXED_POINT} AS same_fixed_point FROM wfp JOIN bfp USING (s) JOIN rfp USING (s)""",
     "propagate_v4": _propagated(True, "sum"),
     "propagate_weighted": _propagated(True, "sum", weighted=True),
     "propagate_paper": _propagated(True, "claim_split"),

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import propagate, report
-from claimloom.plans import credibility
+from claimloom.plans import core_queries, credibility
 from claimloom.sources import readers
 
 TOY = {1: [1, 2], 2: [1, 2], 4: [3, 4]}
@@ -118,3 +118,16 @@ def test_reports(spark, toy, tmp_path):
     lines = sorted(spark.read.text(str(tmp_path / "scores")).toPandas().value)
     assert "1,source-1,0.400000000000" in lines and "source_id,domain,score" in lines
     assert sum(r.percent for r in report.share(vector.withColumnRenamed("score", "n"), "n").collect()) == pytest.approx(100)
+
+
+def test_registered_runs_reach_the_fixed_point(spark, tmp_path):
+    rows = [(1, 1), (1, 2), (2, 1), (2, 2), (4, 3), (4, 4), (4, 2)]
+    spark.createDataFrame(rows, "source_id bigint, claim_id bigint").write.parquet(str(tmp_path / "assertions.parquet"))
+    found = core_queries.QUERIES["fixed_point_v3"](spark, str(tmp_path))
+    edges = core_queries.edges(spark, str(tmp_path))
+    once_more = propagate.propagate(edges, found, rule="v3", fixed_iterations=1).scores
+    assert propagate.max_difference(found, once_more) < 1e-8
+    capped = propagate.propagate(edges, rule="v3", max_iterations=core_queries.K)
+    assert not capped.converged and propagate.max_difference(found, capped.scores) > 1e-8
+    twenty = scores(propagate.propagate(edges, rule="v0", fixed_iterations=20))
+    assert scores_of(core_queries.QUERIES["full_v0"](spark, str(tmp_path))) == pytest.approx(twenty)
