@@ -1,8 +1,9 @@
 """Communities of the weighted source graph, their bridges, and connected components.
 
-Louvain, deterministic: nodes are looked at in ascending order, ties go to the smallest community. A
-graph of up to ``ONE_TASK_EDGES`` edges is worked on by one task; a larger one by rounds of joins in which
-every second node (by a hash of node and round) may move, so that two neighbours do not swap for ever.
+Louvain, deterministic: ties go to the smallest community. A graph of any size is worked on by rounds of
+joins in which every second node (by a hash of node and round) may move, so that two neighbours do not swap
+for ever, until no node gains by a move. Only a caller that asks for it has a small graph worked on by one
+task, with the nodes looked at in ascending order.
 """
 
 from __future__ import annotations
@@ -13,10 +14,6 @@ from pyspark.sql import functions as F
 
 from claimloom.session import cut, discard
 
-ONE_TASK_EDGES = 500_000
-ROUNDS = 12
-LEVELS = 6
-
 
 def _louvain(pairs: list[tuple[int, int, float]]) -> dict[int, int]:
     """Community of each node, named by its smallest node."""
@@ -70,37 +67,75 @@ def _louvain(pairs: list[tuple[int, int, float]]) -> dict[int, int]:
         adjacent, loops, members = merged, new_loops, new_members
 
 
+def _measured(graph: DataFrame, state: DataFrame, total: float) -> tuple[DataFrame, float]:
+    """Weight from each node to each community next to it, and the modularity of ``state`` but for loops, which no move changes."""
+    links = cut(graph.filter("a <> b").join(state.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("k")))
+    inside = links.join(state.select("a", "c"), ["a", "c"]).agg(F.sum("k").alias("i")).head().i or 0.0
+    volumes = state.groupBy("c").agg(F.sum("d").alias("v")).agg(F.sum(F.col("v") * F.col("v")).alias("s")).head().s
+    return links, inside / total - volumes / (total * total)
+
+
+def _settled(graph: DataFrame, total: float) -> tuple[DataFrame, bool]:
+    """``a, d, c``: the community of each node once no node gains by a move, and whether any moved.
+
+    A round of which modularity does not rise, as moves at the same time can spoil each other, is undone
+    and tried with half as many nodes, at last with the one of the largest gain, so the loop ends.
+    """
+    state = cut(graph.groupBy("a").agg(F.sum("w").alias("d")).withColumn("c", F.col("a")))
+    links, quality = _measured(graph, state, total)
+    moved_any, share, r = False, 2, 0
+    while True:
+        volume = state.groupBy("c").agg(F.sum("d").alias("v"))
+        home = state.select("a", "d", F.col("c").alias("home"))
+        scored = links.join(home, "a").join(volume, "c")
+        inside = F.when(F.col("c") == F.col("home"), F.col("d")).otherwise(0.0)
+        gain = F.col("k") - (F.col("v") - inside) * F.col("d") / total
+        best = scored.withColumn("g", gain).groupBy("a").agg(
+            F.min_by("c", F.struct(-F.col("g"), F.col("c"))).alias("to"), F.max("g").alias("g"), F.max(F.when(F.col("c") == F.col("home"), F.col("g"))).alias("stay")
+        )
+        stay_volume = home.join(volume.withColumnRenamed("c", "home"), "home").select("a", ((F.col("d") - F.col("v")) * F.col("d") / total).alias("alone"))
+        more = F.coalesce(F.col("g") - F.coalesce("stay", "alone"), F.lit(0.0))
+        wished = cut(state.join(best, "a", "left").join(stay_volume, "a").select("a", "d", "c", "to", more.alias("more")))
+        n = wished.filter("more > 1e-12").count()
+        if n == 0:
+            discard(wished)
+            break
+        single = share > n
+        if single:
+            turn = F.col("a") == wished.orderBy(F.desc("more"), "a").head().a
+        else:
+            turn = F.pmod(F.xxhash64("a", F.lit(r)), F.lit(share)) == 0
+        moves = turn & (F.col("more") > 1e-12)
+        after = cut(wished.select("a", "d", F.when(moves, F.col("to")).otherwise(F.col("c")).alias("c")))
+        nobody = wished.filter(moves).limit(1).count() == 0
+        discard(wished)
+        r += 1
+        if nobody:
+            discard(after)
+            continue
+        links_after, quality_after = _measured(graph, after, total)
+        if quality_after > quality:
+            discard(state)
+            discard(links)
+            state, links, quality, moved_any, share = after, links_after, quality_after, True, max(2, share // 2)
+            continue
+        discard(after)
+        discard(links_after)
+        if single:  # its gain is below what numbers of this size tell apart
+            break
+        share *= 2
+    discard(links)
+    return state, moved_any
+
+
 def _distributed(pairs: DataFrame) -> DataFrame:
-    """The same objective by rounds of joins; for graphs of any size."""
+    """The same objective by rounds of joins, at every level until no node moves; for graphs of any size."""
     both = pairs.select("a", "b", "w").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     graph = cut(both.groupBy("a", "b").agg(F.sum("w").alias("w")))
     total = graph.agg(F.sum("w").alias("t")).head().t  # both directions: twice the weight
     nodes = cut(graph.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
-    for _ in range(LEVELS):
-        degree = graph.groupBy("a").agg(F.sum("w").alias("d"))
-        state = cut(degree.withColumn("c", F.col("a")))
-        moved_any = False
-        for r in range(ROUNDS):
-            volume = state.groupBy("c").agg(F.sum("d").alias("v"))
-            links = graph.filter("a <> b").join(state.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("k"))
-            home = state.select("a", "d", F.col("c").alias("home"))
-            scored = links.join(home, "a").join(volume, "c")
-            inside = F.when(F.col("c") == F.col("home"), F.col("d")).otherwise(0.0)
-            gain = F.col("k") - (F.col("v") - inside) * F.col("d") / total
-            best = scored.withColumn("g", gain).groupBy("a").agg(
-                F.min_by("c", F.struct(-F.col("g"), F.col("c"))).alias("to"), F.max("g").alias("g"), F.max(F.when(F.col("c") == F.col("home"), F.col("g"))).alias("stay")
-            )
-            stay_volume = home.join(volume.withColumnRenamed("c", "home"), "home").select("a", ((F.col("d") - F.col("v")) * F.col("d") / total).alias("alone"))
-            chosen = state.join(best, "a", "left").join(stay_volume, "a")
-            turn = F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2)) == 0
-            better = turn & (F.col("g") > F.coalesce("stay", "alone") + 1e-12)
-            after = cut(chosen.select("a", "d", F.when(better, F.col("to")).otherwise(F.col("c")).alias("c"), F.coalesce(better, F.lit(False)).alias("moved")))
-            n = after.filter("moved").count()
-            discard(state)
-            state = after
-            moved_any |= n > 0
-            if n == 0 and r % 2:
-                break
+    while total:
+        state, moved_any = _settled(graph, total)
         if not moved_any:
             break
         mapping = state.select(F.col("a").alias("community"), F.col("c").alias("next"))
@@ -111,7 +146,7 @@ def _distributed(pairs: DataFrame) -> DataFrame:
     return nodes.join(named, "community").select(F.col("node").alias("source_id"), F.col("_name").alias("community"))
 
 
-def find_communities(graph: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+def find_communities(graph: DataFrame, one_task_edges: int = 0) -> DataFrame:
     """``source_id, community`` of a graph ``source_a, source_b, weight``; a community bears its smallest source id.
 
     Only sources with an edge take part. An empty graph has no communities.

@@ -67,6 +67,28 @@ def test_two_cliques(spark, cliques, limit):
     assert community.members(found).filter("position = 1").count() == 2
 
 
+def test_rounds_at_every_size_until_no_node_gains(spark, monkeypatch):
+    ring = [(i, (i + 1) % 60, 1) for i in range(60)] + [(i, (i + 7) % 60, 1) for i in range(0, 60, 3)]
+    graph = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in ring], "source_a bigint, source_b bigint, weight bigint")
+    both = graph.selectExpr("source_a a", "source_b b", "double(weight) w").union(graph.selectExpr("source_b", "source_a", "double(weight)"))
+    total = 2.0 * graph.count()
+    of = {r.a: r.c for r in community._settled(both, total)[0].collect()}
+    near, degree = {}, {}
+    for a, b, _ in ring:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, []).append(y)
+            degree[x] = degree.get(x, 0) + 1
+    for n, home in of.items():
+        gain = {c: sum(of[m] == c for m in near[n]) - sum(d for x, d in degree.items() if of[x] == c and x != n) * degree[n] / total for c in {home, *(of[m] for m in near[n])}}
+        assert max(gain.values()) <= gain[home] + 1e-9
+
+    def unused(pairs):
+        raise AssertionError("the size of the graph chose another algorithm")
+
+    monkeypatch.setattr(community, "_louvain", unused)
+    assert community.find_communities(graph).count() == 60
+
+
 def test_components_and_empty_graphs(spark, cliques):
     apart = readers.literal_graph(spark, {1: [1, 2], 2: [2], 4: [3], 9: [3, 4]}).edges
     assert {r.source_id: r.component for r in community.connected_components(apart).collect()} == {1: 1, 2: 1, 4: 4, 9: 4}
