@@ -4,15 +4,21 @@ The state of one reference table is three tables keyed by the referenced key:
 
 * ``refs``      (row_id, key, at): every reference with a key, at its arrival;
 * ``stays``     (key, loaded_at, deleted_at): the parent index, one row per stay of a parent;
-* ``episodes``  (row_id, key, opened_at, closed_at): the spans in which a reference pointed nowhere.
+* ``episodes``  (row_id, key, opened_at, closed_at, on_arrival): the spans in which a reference pointed
+  nowhere; ``on_arrival`` is true where the span began with the reference, false where a deletion began it.
 
 ``update`` takes new references and new or closed stays. New references probe the index at their own
 arrival time; an arriving parent closes the episodes that wait for it; a deletion opens new ones for
 the references of its key. Only keys that changed are recomputed.
 
+``advance`` does so on state kept in bucketed tables: it reads and rewrites only the buckets in which the
+batch has keys, and adds its references to them. ``replay`` feeds whole tables through it period by
+period, each with the references that arrived and the parents that came or went in it.
+
 Null keys are no references. A stay with ``deleted_at <= loaded_at`` is never there. A parent is there
-from ``loaded_at`` on and no longer at ``deleted_at``. Rows without an arrival time have no moment at
-which the parent could be missing and are left out. Repeated rows count as often as they occur.
+from ``loaded_at`` on and no longer at ``deleted_at``; of stays of a key that begin together the longest
+counts. Rows without an arrival time have no moment at which the parent could be missing and are left
+out. Repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
@@ -22,12 +28,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.session import cut
+from claimloom.buckets import Buckets
+from claimloom.session import cut, discard
 
 #: Of the two kinds of timestamp an empty state takes that of the first batch.
 REFS = "row_id bigint, key bigint, at timestamp_ntz"
 STAYS = "key bigint, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
-EPISODES = "row_id bigint, key bigint, opened_at timestamp_ntz, closed_at timestamp_ntz"
+EPISODES = "row_id bigint, key bigint, opened_at timestamp_ntz, closed_at timestamp_ntz, on_arrival boolean"
 
 
 @dataclass
@@ -58,61 +65,69 @@ def references(rows: DataFrame, row_id: str, key: str, at: str) -> DataFrame:
 def parent_stays(rows: DataFrame, key: str, loaded_at: str = "loaded_at", deleted_at: str = "deleted_at") -> DataFrame:
     stays = rows.select(F.col(key).cast("bigint").alias("key"), F.col(loaded_at).alias("loaded_at"), F.col(deleted_at).alias("deleted_at"))
     never = F.col("deleted_at").isNotNull() & (F.col("deleted_at") <= F.col("loaded_at"))
-    return stays.filter(F.col("key").isNotNull() & F.col("loaded_at").isNotNull() & ~never)
+    stays = stays.filter(F.col("key").isNotNull() & F.col("loaded_at").isNotNull() & ~never)
+    open_end = F.bool_or(F.col("deleted_at").isNull())
+    return stays.groupBy("key", "loaded_at").agg(open_end.alias("_open"), F.max("deleted_at").alias("_end")).select(
+        "key", "loaded_at", F.when(~F.col("_open"), F.col("_end")).alias("deleted_at")
+    )
 
 
-def probe(refs: DataFrame, stays: DataFrame) -> DataFrame:
-    """The references whose parent is not there when they arrive.
+def gaps(stays: DataFrame) -> DataFrame:
+    """The spans (from, to) in which a known key has no stay, and one row ``known`` per key.
 
-    One anti join on the key with the span as residual, both sides read straight from their shuffle,
-    so that adaptive execution can split a key that holds a large share of the references.
+    ``from`` null: before the first stay, ``to`` null: after the last.
     """
-    s = stays.select(F.col("key").alias("_k"), "loaded_at", "deleted_at")
-    there = (F.col("key") == F.col("_k")) & (F.col("loaded_at") <= F.col("at"))
-    return refs.join(s, there & (F.col("deleted_at").isNull() | (F.col("deleted_at") > F.col("at"))), "left_anti")
-
-
-def gaps(stays: DataFrame) -> DataFrame:
-    """The spans (from, to) in which a known key has no stay; ``from`` null: before the first, ``to`` null: after the last."""
     by_key = Window.partitionBy("key").orderBy("loaded_at")
     kind = stays.schema["deleted_at"].dataType
     forever = F.lit("9999-12-31 00:00:00").cast(kind)
+    never = F.lit(None).cast(kind)
     ends = stays.select("key", "loaded_at", F.coalesce("deleted_at", forever).alias("_end"))
-    seen = ends.withColumn("_before", F.max("_end").over(by_key.rowsBetween(Window.unboundedPreceding, -1)))
-    between = seen.filter(F.col("_before").isNull() | (F.col("_before") < F.col("loaded_at"))).select(
-        "key", F.col("_before").alias("gap_from"), F.col("loaded_at").alias("gap_to")
-    )
-    after = (
-        ends.groupBy("key").agg(F.max("_end").alias("_end")).filter(F.col("_end") < forever)
-        .select("key", F.col("_end").alias("gap_from"), F.lit(None).cast(kind).alias("gap_to"))
+    seen = ends.select(
+        "key", "loaded_at", F.max("_end").over(by_key.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.max("_end").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("_until"), F.lead("loaded_at").over(by_key).alias("_next"),
     )
-    return between.unionByName(after)
+    gap = lambda known, start, end: F.struct(F.lit(known).alias("known"), start.alias("gap_from"), end.alias("gap_to"))
+    first = F.col("_before").isNull()
+    rows = F.array(
+        F.when(first, gap(True, never, never)),
+        F.when(first | (F.col("_before") < F.col("loaded_at")), gap(False, F.col("_before"), F.col("loaded_at"))),
+        F.when(F.col("_next").isNull() & (F.col("_until") < forever), gap(False, F.col("_until"), never)),
+    )
+    return seen.select("key", F.explode(rows).alias("g")).filter("g IS NOT NULL").select("key", "g.known", "g.gap_from", "g.gap_to")
 
 
 def find_episodes(refs: DataFrame, stays: DataFrame) -> DataFrame:
-    """Every span in which a reference points nowhere, from its arrival on."""
+    """Every span in which a reference points nowhere, from its arrival on.
+
+    One left join with the gaps that end after the arrival, both sides read straight from their shuffle, so
+    that adaptive execution can split a key that holds a large share of the references.
+    """
     g = gaps(stays).withColumnRenamed("key", "_k")
-    in_gap = (F.col("key") == F.col("_k")) & (F.col("gap_from").isNull() | (F.col("gap_from") <= F.col("at")))
-    in_gap = in_gap & (F.col("gap_to").isNull() | (F.col("gap_to") > F.col("at")))
-    arrived = probe(refs, stays).join(g, in_gap, "left").select(
-        "row_id", "key", F.col("at").alias("opened_at"), F.col("gap_to").alias("closed_at")
-    )
-    reopened = refs.join(g, (F.col("key") == F.col("_k")) & (F.col("gap_from") > F.col("at"))).select(
-        "row_id", "key", F.col("gap_from").alias("opened_at"), F.col("gap_to").alias("closed_at")
-    )
-    return arrived.unionByName(reopened)
+    ahead = F.col("known") | F.col("gap_to").isNull() | (F.col("gap_to") > F.col("at"))
+    found = refs.join(g, (F.col("key") == F.col("_k")) & ahead, "left").filter("_k IS NULL OR NOT known")
+    arrived = F.col("gap_from").isNull() | (F.col("gap_from") <= F.col("at"))
+    opened = F.when(arrived, F.col("at")).otherwise(F.col("gap_from"))
+    return found.select("row_id", "key", opened.alias("opened_at"), F.col("gap_to").alias("closed_at"), arrived.alias("on_arrival"))
 
 
-def update(state: OrphanState, new_refs: DataFrame, new_stays: DataFrame) -> OrphanState:
-    """The state after a batch. A new stay takes the place of open stays with the same key and ``loaded_at``."""
-    open_stays = state.stays.filter(F.col("deleted_at").isNull())
-    replaced = open_stays.join(new_stays.select("key", "loaded_at").distinct(), ["key", "loaded_at"], "left_anti")
-    stays = state.stays.filter(F.col("deleted_at").isNotNull()).unionByName(replaced).unionByName(new_stays)
+def next_stays(stays: DataFrame, new_stays: DataFrame) -> DataFrame:
+    """The parent index after a batch: a new stay takes the place of open stays with the same key and ``loaded_at``."""
+    replaced = stays.join(new_stays.select("key", "loaded_at").distinct().withColumn("_new", F.lit(True)), ["key", "loaded_at"], "left")
+    return replaced.filter("deleted_at IS NOT NULL OR _new IS NULL").select("key", "loaded_at", "deleted_at").unionByName(new_stays)
+
+
+def next_episodes(state: OrphanState, stays: DataFrame, new_refs: DataFrame, new_stays: DataFrame) -> DataFrame:
+    """The spans after a batch that leads to ``stays``: those of changed keys are found again, new references probe the index."""
     changed = new_stays.select("key").distinct()
     again = state.refs.join(changed, "key", "left_semi").select("row_id", "key", "at")
-    kept = state.episodes.join(changed, "key", "left_anti").select("row_id", "key", "opened_at", "closed_at")
-    fresh = find_episodes(again.unionByName(new_refs), stays)
-    return OrphanState(state.refs.unionByName(new_refs), stays, kept.unionByName(fresh))
+    kept = state.episodes.join(changed, "key", "left_anti").select("row_id", "key", "opened_at", "closed_at", "on_arrival")
+    return kept.unionByName(find_episodes(again.unionByName(new_refs), stays))
+
+
+def update(state: OrphanState, new_refs: DataFrame, new_stays: DataFrame) -> OrphanState:
+    """The state after a batch."""
+    stays = next_stays(state.stays, new_stays)
+    return OrphanState(state.refs.unionByName(new_refs), stays, next_episodes(state, stays, new_refs, new_stays))
 
 
 def update_and_cut(state: OrphanState, new_refs: DataFrame, new_stays: DataFrame) -> OrphanState:
@@ -121,9 +136,57 @@ def update_and_cut(state: OrphanState, new_refs: DataFrame, new_stays: DataFrame
     return OrphanState(cut(after.refs), cut(after.stays), cut(after.episodes))
 
 
+def episodes(tables: Buckets) -> DataFrame:
+    return tables.read("episodes", EPISODES)
+
+
+def advance(tables: Buckets, new_refs: DataFrame, new_stays: DataFrame) -> list[int]:
+    """``update`` of the buckets that a batch has keys in; returns them. The other buckets are neither read nor written."""
+    at = tables.touched(new_refs.select("key").unionByName(new_stays.select("key")), "key")
+    if not at:
+        return at
+    before = OrphanState(tables.read("refs", REFS, at), tables.read("stays", STAYS, at), tables.read("episodes", EPISODES, at))
+    tables.replace("stays", next_stays(before.stays, new_stays), at, "key")
+    tables.replace("episodes", next_episodes(before, tables.read("stays", STAYS, at), new_refs, new_stays), at, "key")
+    tables.append("refs", new_refs, "key")
+    return at
+
+
+def _years(refs: DataFrame) -> list[str]:
+    """The first moments of the calendar years in which references arrive, but the first year's."""
+    ends = refs.agg(F.year(F.min("at")).alias("a"), F.year(F.max("at")).alias("z")).head()
+    return [] if ends.a is None else [f"{y:04d}-01-01 00:00:00" for y in range(ends.a + 1, ends.z + 1)]
+
+
+def replay(tables: Buckets, refs: DataFrame, stays: DataFrame, starts: list[str] | None = None) -> Buckets:
+    """Whole tables as the batches they arrived in, cut at ``starts`` (else: a batch a calendar year).
+
+    A batch has the references that arrived in its period and the stays that began or ended in it; a stay
+    that ends later is still open there.
+    """
+    stays = cut(stays)
+    bounds = [None, *(_years(refs) if starts is None else starts), None]
+    for lower, upper in zip(bounds, bounds[1:]):
+
+        def within(time: str, kind, lower: str | None = lower, upper: str | None = upper):
+            after = F.lit(True) if lower is None else F.col(time) >= F.lit(lower).cast(kind)
+            return after & (F.lit(True) if upper is None else F.col(time) < F.lit(upper).cast(kind))
+
+        kind = stays.schema["deleted_at"].dataType
+        ended = F.coalesce(within("deleted_at", kind) & F.col("deleted_at").isNotNull(), F.lit(False))
+        seen = F.lit(True) if upper is None else F.col("loaded_at") < F.lit(upper).cast(kind)
+        changed = stays.filter(seen & (within("loaded_at", kind) | ended))
+        if upper is not None:
+            changed = changed.withColumn("deleted_at", F.when(F.col("deleted_at") < F.lit(upper).cast(kind), F.col("deleted_at")))
+        advance(tables, refs.filter(within("at", refs.schema["at"].dataType)), changed)
+        tables.sweep()
+    discard(stays)
+    return tables
+
+
 def on_arrival(state: OrphanState) -> DataFrame:
-    """References that were orphans when they arrived, by the state's own index."""
-    return probe(state.refs, state.stays)
+    """The spans of references that were orphans when they arrived."""
+    return state.episodes.filter("on_arrival")
 
 
 def snapshots(episodes: DataFrame, ref_table: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.buckets import Buckets
 from claimloom.functions import attributes
 from claimloom.operators import orphans, units, widen
 from claimloom.session import table
@@ -15,33 +18,39 @@ REFERENCES = (
 )
 
 
-def _orphan_states(spark: SparkSession, sf: str) -> list[tuple[str, orphans.OrphanState]]:
-    states = []
-    for name, key, parent, parent_key in REFERENCES:
+def _orphan_tables(spark: SparkSession, sf: str) -> list[tuple[str, Buckets]]:
+    """The orphan state of both tables, from batches by year of arrival; the two are worked on side by side."""
+
+    def state(name: str, key: str, parent: str, parent_key: str) -> tuple[str, Buckets]:
         refs = orphans.references(table(spark, sf, name), "row_id", key, "ingested_at")
         stays = orphans.parent_stays(table(spark, sf, parent), parent_key)
-        states.append((name, orphans.update(orphans.OrphanState.empty(spark), refs, stays)))
-    return states
+        return name, orphans.replay(Buckets.scratch(spark), refs, stays)
 
+    with ThreadPoolExecutor(len(REFERENCES)) as pool:
+        return [f.result() for f in [pool.submit(state, *r) for r in REFERENCES]]
 
-def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [orphans.on_arrival(s).select(F.lit(n).alias("ref_table"), "row_id") for n, s in _orphan_states(spark, sf)]
+
+def _arrived(spark: SparkSession, sf: str) -> DataFrame:
+    """``ref_table, row_id, opened_at`` of the references that found no parent when they arrived."""
+    parts = [
+        orphans.episodes(t).filter("on_arrival").select(F.lit(n).alias("ref_table"), "row_id", "opened_at") for n, t in _orphan_tables(spark, sf)
+    ]
     return parts[0].unionByName(parts[1])
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _arrived(spark, sf).select("ref_table", "row_id")
+
+
 def p1_counts(spark: SparkSession, sf: str) -> DataFrame:
     """References that pointed nowhere on arrival, by table and month."""
-    parts = [
-        orphans.on_arrival(s).groupBy(F.date_trunc("month", "at").alias("month")).agg(F.count(F.lit(1)).alias("orphans"))
-        .select(F.lit(n).alias("ref_table"), F.date_format("month", "yyyy-MM").alias("month"), "orphans")
-        for n, s in _orphan_states(spark, sf)
-    ]
-    return parts[0].unionByName(parts[1])
+    monthly = _arrived(spark, sf).groupBy("ref_table", F.date_trunc("month", "opened_at").alias("month")).agg(F.count(F.lit(1)).alias("orphans"))
+    return monthly.select("ref_table", F.date_format("month", "yyyy-MM").alias("month"), "orphans")
 
 
 def p1_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Episodes opened, closed and pending at each month's end, by table."""
-    parts = [orphans.snapshots(s.episodes, n) for n, s in _orphan_states(spark, sf)]
+    parts = [orphans.snapshots(orphans.episodes(t), n) for n, t in _orphan_tables(spark, sf)]
     return parts[0].unionByName(parts[1]).withColumn("month", F.date_format("month", "yyyy-MM"))
 
 

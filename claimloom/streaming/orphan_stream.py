@@ -2,39 +2,41 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from claimloom.buckets import Buckets
 from claimloom.operators import orphans
 
 
 class OrphanStore:
-    """Orphan state in a folder, one version per batch; a batch that is repeated after a failure finds its version and changes nothing."""
+    """Orphan state in bucketed tables, one version per batch.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    A batch rewrites the buckets it has keys in. One that is repeated after a failure finds its version and changes nothing.
+    """
 
-    def _version(self, batch: int) -> str:
-        return f"{self.path}/batch={batch}"
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.tables = Buckets(spark, path, buckets)
 
     def done(self, batch: int) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._version(batch)}/episodes/_SUCCESS")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return self.tables.exists(batch)
 
     def read(self, before: int) -> orphans.OrphanState:
         """The newest state before a batch."""
-        for batch in range(before - 1, -1, -1):
-            if self.done(batch):
-                return orphans.OrphanState.read(self.spark, self._version(batch))
-        return orphans.OrphanState.empty(self.spark)
+        found = self.tables.open(before)
+        return orphans.OrphanState(found.read("refs", orphans.REFS), found.read("stays", orphans.STAYS), orphans.episodes(found))
 
-    def apply(self, batch: int, refs: DataFrame, stays: DataFrame) -> None:
-        if not self.done(batch):
-            orphans.update(self.read(batch), refs, stays).write(self._version(batch))  # episodes last: their _SUCCESS ends the version
+    def apply(self, batch: int, refs: DataFrame, stays: DataFrame) -> list[int]:
+        """The buckets that the batch changed."""
+        if self.done(batch):
+            return []
+        tables = self.tables.open(batch)
+        changed = orphans.advance(tables, refs, stays)
+        tables.commit(batch)
+        return changed
 
 
 def start(
@@ -63,5 +65,6 @@ CHANGES = "kind string, row_id bigint, key bigint, at timestamp, loaded_at times
 
 def read_changes(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of parquet files of changes."""
-    os.makedirs(folder, exist_ok=True)
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
     return spark.readStream.schema(CHANGES).parquet(folder)

@@ -3,7 +3,9 @@ import random
 
 import pytest
 
+from claimloom.buckets import Buckets
 from claimloom.operators import orphans
+from claimloom.streaming.orphan_stream import OrphanStore
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -73,6 +75,29 @@ def test_batches_give_the_same_state_as_one(spark, tmp_path):
     assert spans(orphans.OrphanState.read(spark, str(tmp_path / "state"))) == spans(whole)
 
 
+def test_periods_give_the_same_state_as_one_batch(spark):
+    rng = random.Random(5)
+    r = [(i, rng.choice([1, 2, 3, 7, 7, 7, 8, None]), rng.randrange(90)) for i in range(120)] + [(3, 7, 40)]
+    s = [(1, 5, 20), (1, 30, None), (2, 0, 50), (2, 0, 70), (3, 25, None), (7, 10, 15), (7, 15, 40), (7, 38, 45), (8, 3, 80), (8, 3, None)]
+    for starts in ([], ["2024-02-01 00:00:00"], ["2024-01-12 00:00:00", "2024-01-20 00:00:00", "2024-02-15 00:00:00", "2024-05-01 00:00:00"], None):
+        tables = orphans.replay(Buckets.scratch(spark, 5), refs(spark, r), stays(spark, s), starts)
+        found = orphans.OrphanState(None, None, orphans.episodes(tables))
+        assert spans(found) == brute(r, s)
+        assert orphan_ids(found) == sorted(i for i, k, t in r if k is not None and (i, t) in {x[:2] for x in brute([(i, k, t)], s)})
+
+
+def test_a_small_batch_rewrites_its_own_buckets(spark, tmp_path):
+    store = OrphanStore(spark, str(tmp_path / "state"), 16)
+    r, s = [(i, i % 100, i % 50) for i in range(1000)], [(k, k, None) for k in range(0, 100, 2)]
+    assert len(store.apply(0, refs(spark, r), stays(spark, s))) == 16
+    folders = lambda: {f for f in (tmp_path / "state" / "episodes").glob("*/*") if f.name.startswith("_bucket=")}
+    before = folders()
+    changed = store.apply(1, refs(spark, [(5000, 7, 60)]), stays(spark, [(7, 55, None)]))
+    assert len(changed) == 1 and len(folders() - before) == 1
+    assert store.apply(1, refs(spark, r), stays(spark, s)) == []
+    assert spans(store.read(2)) == brute([*r, (5000, 7, 60)], [*s, (7, 55, None)]) and spans(store.read(1)) == brute(r, s)
+
+
 def test_a_deletion_in_a_later_batch_reopens(spark):
     state = orphans.update(orphans.OrphanState.empty(spark), refs(spark, [(1, 5, 3)]), stays(spark, [(5, 0, None)]))
     assert spans(state) == []
