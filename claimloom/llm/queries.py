@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.buckets import Buckets
 from claimloom.functions import attributes as A
 from claimloom.llm import consensus, leaks, mapping, packing, sentences, similar, together
 from claimloom.session import spread, table
@@ -61,14 +62,14 @@ def p6_sources(spark: SparkSession, sf: str) -> DataFrame:
     return similar.memberships(_similar_sources(spark, sf)).select(F.col("set_id").alias("source_id"), "class_id", "size", "n_links")
 
 
-def _claim_pairs(spark: SparkSession, sf: str) -> together.PairState:
-    rows = table(spark, sf, "assertions")
-    return together.load(rows.select(F.col("source_id").alias("basket"), F.col("claim_id").alias("item")), min_support=6)
+def _claim_pairs(spark: SparkSession, sf: str, starts: list[str] | None = None) -> Buckets:
+    """Claims of one source, from batches by year of arrival (or cut at ``starts``)."""
+    rows = table(spark, sf, "assertions").select(F.col("source_id").alias("basket"), F.col("claim_id").alias("item"), "ingested_at")
+    return together.replay(together.state(spark, min_support=6), rows, "ingested_at", starts)
 
 
-def _strong(state: together.PairState) -> DataFrame:
-    found = together.associations(state)
-    return found.filter(F.col("n_ab") * F.col("n_baskets") >= 4 * F.col("n_a") * F.col("n_b"))
+def _strong(tables: Buckets) -> DataFrame:
+    return together.associations(tables).filter(F.col("n_ab") * F.col("n_baskets") >= 4 * F.col("n_a") * F.col("n_b"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,11 +87,7 @@ def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_two_batches(spark: SparkSession, sf: str) -> DataFrame:
     """The same from two batches: what was ingested before 2024, then the rest as deltas."""
-    rows = table(spark, sf, "assertions").select(F.col("source_id").alias("basket"), F.col("claim_id").alias("item"), "ingested_at")
-    early = F.col("ingested_at") < F.lit("2024-01-01").cast("timestamp")
-    state = together.load(rows.filter(early), min_support=6)
-    state = together.update(state, rows.filter(~early), rows.filter(F.lit(False)))
-    found = together.associations(state)
+    found = together.associations(_claim_pairs(spark, sf, ["2024-01-01 00:00:00"]))
     return found.select(F.col("item_a").alias("claim_id_a"), F.col("item_b").alias("claim_id_b"), "n_ab", "n_a", "n_b", "n_baskets")
 
 
