@@ -27,6 +27,19 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def years(rows: DataFrame, time: str) -> list[str | None]:
+    """Bounds of the batches, a calendar year each, in which a whole table is replayed; the outer ones are open (null)."""
+    ends = rows.agg(F.year(F.min(time)).alias("a"), F.year(F.max(time)).alias("z")).head()
+    between = [] if ends.a is None else [f"{y:04d}-01-01 00:00:00" for y in range(ends.a + 1, ends.z + 1)]
+    return [None, *between, None]
+
+
+def within(time: str, kind: T.DataType, lower: str | None, upper: str | None) -> Column:
+    """Whether a time lies in ``[lower, upper)``; a null bound is open."""
+    after = F.lit(True) if lower is None else F.col(time) >= F.lit(lower).cast(kind)
+    return after & (F.lit(True) if upper is None else F.col(time) < F.lit(upper).cast(kind))
+
+
 class Buckets:
     """One version of the tables of a folder, open for changes; ``commit`` makes it readable under its number."""
 

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.buckets import Buckets
+from claimloom.buckets import Buckets, within, years
 from claimloom.session import cut, discard
 
 #: Of the two kinds of timestamp an empty state takes that of the first batch.
@@ -152,12 +152,6 @@ def advance(tables: Buckets, new_refs: DataFrame, new_stays: DataFrame) -> list[
     return at
 
 
-def _years(refs: DataFrame) -> list[str]:
-    """The first moments of the calendar years in which references arrive, but the first year's."""
-    ends = refs.agg(F.year(F.min("at")).alias("a"), F.year(F.max("at")).alias("z")).head()
-    return [] if ends.a is None else [f"{y:04d}-01-01 00:00:00" for y in range(ends.a + 1, ends.z + 1)]
-
-
 def replay(tables: Buckets, refs: DataFrame, stays: DataFrame, starts: list[str] | None = None) -> Buckets:
     """Whole tables as the batches they arrived in, cut at ``starts`` (else: a batch a calendar year).
 
@@ -165,20 +159,14 @@ def replay(tables: Buckets, refs: DataFrame, stays: DataFrame, starts: list[str]
     that ends later is still open there.
     """
     stays = cut(stays)
-    bounds = [None, *(_years(refs) if starts is None else starts), None]
+    kind = stays.schema["deleted_at"].dataType
+    bounds = years(refs, "at") if starts is None else [None, *starts, None]
     for lower, upper in zip(bounds, bounds[1:]):
-
-        def within(time: str, kind, lower: str | None = lower, upper: str | None = upper):
-            after = F.lit(True) if lower is None else F.col(time) >= F.lit(lower).cast(kind)
-            return after & (F.lit(True) if upper is None else F.col(time) < F.lit(upper).cast(kind))
-
-        kind = stays.schema["deleted_at"].dataType
-        ended = F.coalesce(within("deleted_at", kind) & F.col("deleted_at").isNotNull(), F.lit(False))
-        seen = F.lit(True) if upper is None else F.col("loaded_at") < F.lit(upper).cast(kind)
-        changed = stays.filter(seen & (within("loaded_at", kind) | ended))
+        ended = F.col("deleted_at").isNotNull() & within("deleted_at", kind, lower, upper)
+        changed = stays.filter(within("loaded_at", kind, None, upper) & (within("loaded_at", kind, lower, upper) | ended))
         if upper is not None:
-            changed = changed.withColumn("deleted_at", F.when(F.col("deleted_at") < F.lit(upper).cast(kind), F.col("deleted_at")))
-        advance(tables, refs.filter(within("at", refs.schema["at"].dataType)), changed)
+            changed = changed.withColumn("deleted_at", F.when(within("deleted_at", kind, None, upper), F.col("deleted_at")))
+        advance(tables, refs.filter(within("at", refs.schema["at"].dataType, lower, upper)), changed)
         tables.sweep()
     discard(stays)
     return tables
