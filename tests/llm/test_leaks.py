@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from claimloom.llm import leaks
@@ -8,10 +10,10 @@ ITEM = "Halfway along the amber road the porter loses 459 barrels to Amwick, whi
 CHINESE = "一艘渡船从萨多米出发，载着七百箱铜纽扣，每到一站奇贝洛就卸下九分之一。请指出谁在萨多米上空看见灯。"
 
 
-def find(spark, docs, items):
+def find(spark, docs, items, **options):
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id bigint, text string, item_id int")
     t = spark.createDataFrame([(i, lang, x, 2) for i, lang, x in items], "item_id bigint, lang string, text string, doc_id int")
-    return {(r.doc_id, r.item_id): (r.kind, r.length) for r in leaks.find_leaks(d, t).collect()}
+    return {(r.doc_id, r.item_id): (r.kind, r.length) for r in leaks.find_leaks(d, t, **options).collect()}
 
 
 def test_kinds_of_leaks(spark):
@@ -45,21 +47,73 @@ def test_longest_matches_against_brute_force(seed):
     vocabulary = [f"w{k}" for k in range(6)]
     docs = [(d, " ".join(rng.choice(vocabulary + ["zz"]) for _ in range(rng.randrange(1, 60)))) for d in range(30)]
     test = leaks.TestSet([(i, [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 25)))]) for i in range(8)], False)
-    encoded = [(d, test.encode(t)) for d, t in docs]
-    import numpy as np
-
-    sequence = np.concatenate([x for _, t in encoded for x in (t, np.array([-1]))])
+    coded, sizes = test.encode(pa.array([t for _, t in docs]))
+    parts = np.split(coded, np.cumsum(sizes)[:-1])
+    sequence = np.concatenate([x for t in parts for x in (t, np.array([-1]))])
     order = leaks.suffix_array(sequence, test.longest)
-    length, _ = leaks.search(sequence, order, test, (3,))
+    length, _, _, _ = leaks.search(sequence, order, test, 3)
     text = sequence.tolist()
     for s, n in enumerate(length.tolist()):
-        rest = test.tokens[s : test.item_end[s]].tolist()
+        rest = test.tokens[s : test.part_end[s]].tolist()
         best = max((k for k in range(len(rest) + 1) for p in range(len(text)) if text[p : p + k] == rest[:k]), default=0)
         assert n == best
 
 
 def test_common_subsequence():
-    import numpy as np
-
     assert leaks.common_in_order(np.array([1, 2, 3, 4]), np.array([9, 1, 3, 2, 4])) == 3
     assert leaks.common_in_order(np.array([1, 1, 2]), np.array([2, 1])) == 1
+
+
+def test_short_and_heavily_changed_sentences(spark):
+    short, eight = "Copper gulls seldom sing loudly.", "Seven grey tortoises quietly guard the northern gate."
+    mixed, words = "The lighthouse keeper of Pellmore counts eleven lanterns before the tide returns tonight.", "lighthouse keeper of Pellmore counts eleven lanterns before the tide returns"
+    docs = [
+        (1, "They said copper gulls often sing loudly here."), (2, "copper gulls often whistle loudly"),
+        (3, "seven old grey tortoises very quietly guard all the northern gate"), (4, f"so {words} it is"),
+        (5, CHINESE), (6, "loudly sing seldom gulls copper"),
+    ]
+    items = [(1, "en", short), (2, "en", eight), (3, "en", mixed + " " + CHINESE), (4, "en", CHINESE + " " + mixed)]
+    found = find(spark, docs, items)
+    assert set(found) == {(1, 1), (3, 2), (4, 3), (4, 4), (5, 3), (5, 4)}
+    assert found[1, 1] == ("sentence", 4) and found[3, 2] == ("sentence", 8) and found[4, 3] == ("verbatim", 11)
+    assert find(spark, docs, items, block_chars=60) == found
+
+
+def kept_in_order(sentence, doc):
+    """The most words of the sentence in order within twice its length, by the plain recurrence."""
+    best = 0
+    for start in range(len(doc)):
+        row = [0] * (len(sentence) + 1)
+        for y in doc[start : start + leaks.SPAN * len(sentence)]:
+            row = [0] + [max(row[k + 1], row[k] + 1 if x == y else 0, 0) for k, x in enumerate(sentence)]
+            for k in range(len(sentence)):
+                row[k + 1] = max(row[k + 1], row[k])
+        best = max(best, row[-1])
+    return best
+
+
+@pytest.mark.parametrize("seed,chars", [(1, False), (2, False), (3, True)])
+def test_no_changed_sentence_is_lost(seed, chars):
+    """Against brute force, for sentences of any length and changes of any kind."""
+    rng = random.Random(seed)
+    vocabulary = [chr(0x4E00 + k) if chars else f"w{k}" for k in range(40)]
+    join = "".join if chars else " ".join
+    sentences = [[rng.choice(vocabulary) for _ in range(rng.randrange(1, 18))] for _ in range(12)]
+    docs = []
+    for _ in range(300):
+        w = list(rng.choice(sentences))
+        for _ in range(rng.randrange(1 + len(w) // 2)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randrange(3)] = [rng.choice(vocabulary + ["\u9fa0" if chars else "zz"]) for _ in range(rng.randrange(3))]
+        docs.append([rng.choice(vocabulary) for _ in range(rng.randrange(6))] + w + [rng.choice(vocabulary) for _ in range(rng.randrange(6))])
+    test = leaks.TestSet([(i, [join(s)]) for i, s in enumerate(sentences)], chars)
+    coded, sizes = test.encode(pa.array([join(d) for d in docs]))
+    run = leaks.RUN_CHARS if chars else leaks.RUN
+    found = {(d, i): (kind, n) for d, i, kind, n, _, _ in leaks.find_in_shard(list(range(len(docs))), np.split(coded, np.cumsum(sizes)[:-1]), test)}
+    for d, doc in enumerate(docs):
+        for i, s in enumerate(sentences):
+            kept = kept_in_order(s, doc)
+            verbatim = any(doc[p : p + run] == s[q : q + run] for q in range(len(s) - run + 1) for p in range(len(doc)))
+            assert ((d, i) in found) == (verbatim or kept * 5 >= len(s) * 4), (doc, s)
+            if found.get((d, i), ("",))[0] == "sentence":
+                assert found[d, i][1] == kept
