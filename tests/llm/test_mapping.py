@@ -81,3 +81,18 @@ def test_pigeonhole_join_loses_no_pair(spark, seed):
         forms = [(w, i) for i, w in enumerate(words)] + [(w[:3], i) for i, w in enumerate(words)]
         near = [(lev(t, f), i) for f, i in forms if lev(t, f) <= (0 if len(f) < mapping.SHORT else min(4, int(0.45 * len(f))))]
         assert found[t][0] == (min(near)[1] if near else -1), t
+
+
+def test_what_is_noise_is_decided_by_the_list(spark):
+    listed = spark.createDataFrame(
+        [(1, "module", "Orin 64 GB"), (2, "module", "Orin 128 GB"), (3, "city", "Rome"), (4, "city", "Paris"), (5, "city", "Bonn"), (6, "city", "Born"), (7, "cpu", "Korvex Quill 79682"), (8, "cpu", "Vantor Gleam 4827")],
+        "entry_id bigint, attribute string, entry string",
+    )
+    cases = [
+        ("module", "orin 128gb", 2), ("module", "ORIN 64GB", 1), ("module", "Orin 32 GB", -1), ("module", "orin", -1), ("city", "Rme", 3), ("city", "rome", 3), ("city", "Pariis", 4),
+        ("city", "Bonm", -1), ("city", "Boon", -1), ("cpu", "Korvex Quill 7968", 7), ("cpu", "Korvex Quill 796822", 7), ("cpu", "Korvex Quill 79683", -1), ("cpu", "Quill 79682 64 GB", 7),
+        ("cpu", "Vantor Gleam 4827 w/ 115W", 8), ("cpu", "Korvex Quill 79682 tray", 7), ("cpu", "Quill boxed tray retail", -1),
+    ]
+    values = spark.createDataFrame([(k, v) for k, v, _ in cases], "key string, value string")
+    found = {(r.key, r.value): r.entry_id for r in mapping.map_values(values, listed).collect()}
+    assert {(k, v): found[k, v] for k, v, _ in cases} == {(k, v): e for k, v, e in cases}
