@@ -31,10 +31,9 @@ AT_CAPITAL = (
 DOTTED = "e\ue001g|i\ue001e|z\ue001b|d\ue001h|u\ue001a|p\ue001ej|т\ue001е|c\ue001-à-d"
 ORDINAL_AFTER = "am|dem|der|den|des|zum|vom|beim|im|seit|ab|bis"
 EMOTICON = "(?::D|:P|:\\)|:\\(|:-\\)|:-\\(|;\\)|;-\\)|:/|xD|XD|\\^\\^|<3|[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]\\x{FE0F}?)"
-HEADER = "(?:On\\s[^\\n]{1,60},\\s)?[\\p{L}\\p{N}_.\\-]+\\s(?:wrote|schrieb|写道|escribió|a écrit|написала?|さんは書きました|ने लिखा|เขียนว่า):|quoting\\s[^\\s:]+:"
-BLOCK_TAG = "</?(?:p|br|div|blockquote|ul|ol|li|hr|table|tr|td|h[1-6])\\b[^<>\\n]{0,80}>|\\[/?quote(?:=[^\\]\\n]{0,80})?\\]"
-INLINE_TAG = "</?(?:b|i|u|em|strong|a|span|code|s)\\b[^<>\\n]{0,80}>|\\[/?(?:b|i|u|s|code|url)(?:=[^\\]\\n]{0,80})?\\]"
-SIGNATURE_LINES = 6
+HEADER = "(?:On\\s[^\\n]+,\\s)?[\\p{L}\\p{N}_.\\-]+\\s(?:wrote|schrieb|写道|escribió|a écrit|написала?|さんは書きました|ने लिखा|เขียนว่า):|quoting\\s[^\\s:]+:"
+BLOCK_TAG = "</?(?:p|br|div|blockquote|ul|ol|li|hr|table|tr|td|h[1-6])\\b[^<>\\n]*+>|\\[/?quote(?:=[^\\]\\n]*+)?\\]"
+INLINE_TAG = "</?(?:b|i|u|em|strong|a|span|code|s)\\b[^<>\\n]*+>|\\[/?(?:b|i|u|s|code|url)(?:=[^\\]\\n]*+)?\\]"
 RULE = "(?:-{2,}|_{3,}|~{3,}|={3,})[ \\t]*"
 
 _ONE = "[\\p{L}&&[^\\p{IsHan}\\p{IsThai}\\p{IsHiragana}\\p{IsKatakana}]]"
@@ -60,35 +59,53 @@ def masked(text: Column) -> Column:
     t = r(t, f"\\.(?={_GAP}+\\p{{L}})(?<=\\d\\.)(?<=\\b(?:{ORDINAL_AFTER})[ \\n]{{1,3}}\\d{{1,2}}\\.)", DOT)
     t = r(t, f"{DOT}(?={_GAP}+\\p{{L}})(?<={_START}[Nn]o{DOT})", ".")
     # ASCII quotes get a direction
-    t = r(t, f"(?<![^\\s\\p{{Z}}(\\[\\]>*{OPEN}«“„])\"(?=[^\\s\\p{{Z}}])", OPEN)
+    t = r(t, f"\"(?=[^\\s\\p{{Z}}])(?:(?<![^\\s\\p{{Z}}(\\[\\]>*{OPEN}«“„]\")|(?<=&nbsp;\"))", OPEN)
     t = r(t, "(?<=[^\\s\\p{Z}])\"(?=[\\s\\p{Z}).,;:!?\\]<*\\[]|$)", CLOSE)
-    # classes of one range are tested far faster than lists: “ ” „ follow one another, and so do the others
-    for mark, placeholder in INNER.items():
-        m = f"[{mark}]"
-        t = r(t, f"{m}(?=[^«»]{{0,300}}+»)", placeholder)
-        t = r(t, f"{m}(?=[^「」]{{0,300}}+」)", placeholder)
-        t = r(t, f"{m}(?=[^{OPEN}{CLOSE}]{{0,300}}+{CLOSE})", placeholder)
-        t = r(t, f"{m}(?=[^“-„]{{0,300}}+”)", placeholder)
-        t = r(t, f"{m}(?=[^“-„]{{0,300}}+“)(?<=„[^“-„]{{0,300}})", placeholder)
     return t
 
 
+def _nest(opening: str, closing: str, marks: str) -> str:
+    """A quotation of any length, with quotations of its own kind inside."""
+    return f"{opening}[^{marks}]*+(?:{opening}[^{marks}]*+{closing}[^{marks}]*+)*+{closing}"
+
+
+#: A text as quotations and what is between them. “ ” „ follow one another, so that one range holds them.
+_QUOTATIONS = (
+    _nest("«", "»", "«»"), _nest("「", "」", "「」"), _nest(OPEN, CLOSE, OPEN + CLOSE), "„[^“-„]*+“", _nest("“", "”", "“-„"), "”[^“-„]*+”", "»[^«»]*+«",
+)
+_PARTS = f"{'|'.join(_QUOTATIONS)}|[^«「„“”»{OPEN}]++|."
+
+
+def quoted(t: Column) -> Column:
+    """Terminators within quotations as placeholders; a quotation that is not closed, or only after another opened, is none."""
+    parts = F.regexp_extract_all(t, F.lit(f"(?s){_PARTS}"), F.lit(0))
+    marked = F.transform(parts, lambda p: F.when(p.rlike(f"^[«「„“”»{OPEN}](?s:.)*[»」“”«{CLOSE}]$"), F.translate(p, ENDS, _INNER)).otherwise(p))
+    return F.when(t.rlike(f"[»」”“«{CLOSE}]"), F.array_join(marked, "")).otherwise(t)
+
+
+def _signed(t: Column) -> Column:
+    """A mark behind the rule over a signature and behind each of its lines but the last."""
+    # the line behind a rule and, as \\G is the end of the match before, every line that follows it
+    rule = "(?<=[-_~= \\t])(?<=(?:^|\\n)[> ]{0,6}(?:-{2,8}|_{3,8}|~{3,8}|={3,8})[ \\t]{0,3})"
+    marked = F.regexp_replace(t, f"((?!\\A)\\G[^\\n]+|{rule})\\n(?=[^\\n])", f"$1{SIGNED}")
+    return F.when(t.rlike("(?:--|___|~~~|===)[ \\t]*\\n"), marked).otherwise(t)
+
+
 def _lines(t: Column) -> Column:
     """Separators around blocks: blank lines, tags, headers, list lines, rules and signature lines, changes of quote depth."""
     r = F.regexp_replace
-    t = r(t, "\\n(?=[^\\n])(?<=[-_~= \\t]\\n)(?<=(?:^|\\n)[> ]{0,6}(?:-{2,8}|_{3,8}|~{3,8}|={3,8})[ \\t]{0,3}\\n)", SIGNED)
-    for _ in range(SIGNATURE_LINES - 1):
-        t = r(t, f"\\n(?=[^\\n])(?<={SIGNED}[^\\n{SIGNED}]{{1,100}}\\n)", SIGNED)
-    for mark, placeholder in INNER.items():
-        t = r(t, f"[{mark}](?<={SIGNED}[^\\n{SIGNED}]{{0,100}})", placeholder)
-    t = r(t, SIGNED, f"{SIGNED}{SEP}")
+    signed = F.transform(
+        F.split(t, SIGNED),
+        lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.translate(F.substring_index(p, "\n", 1), ENDS, _INNER), F.regexp_replace(p, "^[^\n]*+", ""))),
+    )
+    t = F.when(F.contains(t, F.lit(SIGNED)), F.array_join(signed, f"{SIGNED}{SEP}")).otherwise(t)
     t = r(t, f"({BLOCK_TAG})", f"{SEP}$1{SEP}")
     t = r(t, "(\\n[>\\s\\p{Z}]*\\n)", f"$1{SEP}")
     t = r(t, f"(?m)^([> \\t]*)((?:{HEADER})[ \\t]*)$", f"{SEP}$1$2{SEP}")
     t = r(t, "(?m)^([> \\t]*(?:[-*•·‣◦+][ \\t]+|•)[^\\n]*)$", f"{SEP}$1{SEP}")
     t = r(t, f"(?m)^([> \\t]*{RULE})(?=$|{SIGNED})", f"{SEP}$1{SEP}")
-    t = r(t, f"(?<=\\n)(?=[^>\\n{SEP}])(?<=(?:^|\\n){SEP}?>[^\\n]{{0,400}}\\n)", SEP)
-    return r(t, f"(?<=\\n)(?=>)(?<=(?:^|\\n){SEP}?[^>\\n{SEP}][^\\n]{{0,400}}\\n)", SEP)
+    t = r(t, f"(?md)^({SEP}?>[^\\n]*+\\n)(?=[^>\\n{SEP}])", f"$1{SEP}")
+    return r(t, f"(?md)^({SEP}?[^>\\n{SEP}][^\\n]*+\\n)(?=>)", f"$1{SEP}")
 
 
 def _sentences(t: Column) -> Column:
@@ -104,7 +121,7 @@ def _sentences(t: Column) -> Column:
     quoted = f"([{_INNER}][\\s\\u00a0]?[»”“{CLOSE}]{_CLOSERS}{emotion})(?={_GAP}+(?:{INLINE_TAG}|\\*\\*)*[\\p{{Lu}}¿¡{OPEN}«„(])"
     t = r(t, quoted, f"$1{SEP}")
     t = r(t, f"((?<=[\\s\\p{{Z}}]){EMOTICON})(?={_GAP}|$)(?!{_GAP}+{EMOTICON})", f"$1{SEP}")
-    return r(t, f"(?=[\\s\\p{{Z}}])(?<![\\s\\p{{Z}}])(?<=\\p{{IsThai}}[^\\s{SEP}]{{0,40}})(?!{_GAP}*{EMOTICON})", SEP)
+    return r(t, f"(\\p{{IsThai}}[^\\s\\p{{Z}}{SEP}]*+)(?=[\\s\\p{{Z}}])(?!{_GAP}*{EMOTICON})", f"$1{SEP}")
 
 
 def _restored(piece: Column) -> Column:
@@ -127,7 +144,8 @@ def split_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own], F.lit(True).alias("_")).alias("row")
     begun = docs.filter(F.col(text).isNotNull()).select(whole, masked(F.col(text)).alias("_m"))
     # separate projections, so that each pattern runs once
-    cut = begun.select(*kept, _lines(F.col("_m")).alias("_m")).select(*kept, F.split(_sentences(F.col("_m")), SEP).alias("_p"))
+    quotes = begun.select(*kept, quoted(F.col("_m")).alias("_m")).select(*kept, _signed(F.col("_m")).alias("_m"))
+    cut = quotes.select(*kept, _lines(F.col("_m")).alias("_m")).select(*kept, F.split(_sentences(F.col("_m")), SEP).alias("_p"))
     runs = F.transform(
         F.sequence(F.lit(0), ((F.size("_p") - 1) / RUN).cast("int")), lambda i: F.slice("_p", i * RUN + 1, F.lit(RUN))
     )

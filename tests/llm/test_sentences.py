@@ -67,3 +67,37 @@ def test_long_texts(spark, n):
 def test_private_use_characters_and_line_ends(spark):
     found = split(spark, ["One  two.\r\nThree  four."])
     assert [a for a, _ in found[0]] == [0, 12]
+
+
+def units(spark, text):
+    rows = sentences.split_sentences(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).orderBy("start_char").collect()
+    assert all(text[r.start_char :].startswith(r.sentence[0]) for r in rows)
+    return [r.sentence for r in rows]
+
+
+@pytest.mark.parametrize("pair", ["\"\"", "“”", "«»", "「」", "„“"])
+def test_a_quotation_of_any_length_does_not_split(spark, pair):
+    inner = " ".join(f"Line {k} went dark." for k in range(300))
+    assert units(spark, f"She wrote {pair[0]}{inner}{pair[1]} to all of us. Then she left.") == [f"She wrote {pair[0]}{inner}{pair[1]} to all of us.", "Then she left."]
+
+
+def test_an_open_quotation_masks_nothing(spark):
+    assert units(spark, "He said “never mind. It broke. We left.") == ["He said “never mind.", "It broke.", "We left."]
+    assert units(spark, "We saw « one. Two. And «three. four.» went.") == ["We saw « one.", "Two.", "And «three. four.» went."]
+
+
+def test_signatures_of_any_length(spark):
+    lines = [f"line {k} of. the signature " + "x" * (30 * k) for k in range(12)]
+    assert units(spark, "It works.\n\n-- \n" + "\n".join(lines)) == ["It works.", *[x.strip() for x in lines]]
+
+
+def test_long_quoted_lines_and_tags(spark):
+    long = "word " * 200 + "end"
+    assert units(spark, f"> {long}\nI agree") == [long, "I agree"]
+    assert units(spark, f"I agree\n> {long}") == ["I agree", long]
+    assert units(spark, f"<p class=\"{'a ' * 100}\">Fine. <a href=\"{'b' * 300}\">Good.</a>") == ["Fine.", "Good.</a>"]
+
+
+def test_a_very_long_text_of_quotations(spark):
+    text = "„Gut. So.“ sagte er. " * 5000 + "Ende."
+    assert len(units(spark, text)) == 5001
