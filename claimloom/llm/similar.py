@@ -78,6 +78,19 @@ def fewest_alike(n: int, threshold: float, miss: float = 1e-7) -> int:
     return n
 
 
+def candidate_pairs(banded: DataFrame, hashes: int, threshold: float) -> DataFrame:
+    """``class_a < class_b, size_a, size_b``, once each, of classes that share a bucket of a band and may reach the threshold.
+
+    ``banded`` is ``class_id, size, low, high, band, bucket``. Sizes too far apart and bits that agree too seldom rule a pair out.
+    """
+    side = lambda s: banded.select(*[F.col(c).alias(f"{c.removesuffix('_id')}_{s}") for c in ("class_id", "size", "low", "high")], "band", "bucket")
+    n = min(hashes, 64)
+    unlike = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b")).bitwiseOR(F.col("high_a").bitwiseXOR(F.col("high_b"))))
+    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (threshold - 1e-9)
+    met = side("a").join(side("b"), ["band", "bucket"]).filter((F.col("class_a") < F.col("class_b")) & near & (unlike <= n - fewest_alike(n, threshold)))
+    return met.select("class_a", "class_b", "size_a", "size_b").distinct()
+
+
 def similar_sets(
     elements: DataFrame, threshold: float = 0.7, min_size: int = 1, bands: int = BANDS, rows: int = ROWS
 ) -> SimilarSets:
@@ -91,15 +104,7 @@ def similar_sets(
     classes = cut(_classes(elements, min_size))
     heads = classes.filter(F.col("set_id") == F.col("class_id")).select("set_id", "size")
     banded = cut(_signatures(elements, heads, bands, rows))
-    side = lambda s: banded.select(*[F.col(c).alias(f"{c.removesuffix('_id')}_{s}") for c in ("class_id", "size", "low", "high")], "band", "bucket")
-    a, b = side("a"), side("b")
-    n = min(bands * rows, 64)
-    unlike = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b")).bitwiseOR(F.col("high_a").bitwiseXOR(F.col("high_b"))))
-    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (threshold - 1e-9)
-    candidates = cut(
-        a.join(b, ["band", "bucket"]).filter((F.col("class_a") < F.col("class_b")) & near & (unlike <= n - fewest_alike(n, threshold)))
-        .select("class_a", "class_b", "size_a", "size_b").distinct()
-    )
+    candidates = cut(candidate_pairs(banded, bands * rows, threshold))
     asked = candidates.select(F.col("class_a").alias("set_id")).unionByName(candidates.select(F.col("class_b").alias("set_id"))).distinct()
     members = elements.join(asked, "set_id", "left_semi")
     first = members.select(F.col("set_id").alias("class_a"), "element")

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from claimloom.llm import packing
+from claimloom.llm import packing, shingles, similar
 
 
 def items(spark, data):
@@ -83,3 +83,48 @@ def test_documents(spark):
     check(rows, [(i, sizes.get(i), None, None) for i in range(len(texts))], 256)
     homes = [r.container_id for r in rows if r.doc_id in (0, 1, 2)]
     assert len(set(homes)) == 3
+
+
+def test_sources_share_only_where_no_bin_is_free_of_them(spark):
+    rng = random.Random(4)
+    data = [(i, rng.randrange(5, 40), rng.choice("abcdefgh"), None) for i in range(400)]
+    rows = packing.pack(items(spark, data), 100, slack=None).collect()
+    used = check(rows, data, 100)
+    assert sum(used.values()) / (100 * len(used)) > 0.95 and not any(r.conflict for r in rows)
+    source = {d[0]: d[2] for d in data}
+    shared = sum(r.same_source for r in rows)
+    plain = packing.pack_shard([(n, (i, 0), None, None) for i, n, _, _ in data], 100)
+    beside = sum(1 for b in set(p[0] for p in plain) for held in [[data[k][2] for k, p in enumerate(plain) if p[0] == b]] for _ in range(len(held) - len(set(held))))
+    assert shared < beside
+    assert sum(1 for c in used for h in [[source[r.doc_id] for r in rows if r.container_id == c]] for _ in range(len(h) - len(set(h)))) <= shared
+
+
+def test_clusters_are_kept_apart_at_any_price_without_slack(spark):
+    rows = packing.pack(items(spark, [(i, 10, "a", 7) for i in range(50)]), 100, slack=None).collect()
+    assert len({r.container_id for r in rows}) == 50 and not any(r.conflict for r in rows)
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 120))] for _ in range(25)]
+    texts = []
+    for i in range(220):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
+        texts.append((i, " ".join(w).upper() if i % 3 else ", ".join(w)))
+    docs = spark.createDataFrame([*texts, (900, None), (901, "?!"), (0, texts[0][1])], "doc_id bigint, text string")
+    sets = {}
+    for i, t in texts:
+        w = t.lower().replace(",", "").split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    assert {r.doc_id: r.cluster for r in packing.near_duplicates(docs).collect()} == root
+    found = {r.doc_id: len(r.elements) for r in shingles.shingle_sets(docs).collect()}
+    assert found == {i: len(s) for i, s in sets.items()}
+    assert similar.fewest_alike(54, 0.8) > 20
