@@ -166,19 +166,27 @@ def search(sequence: np.ndarray, order: np.ndarray, test: TestSet, mark: int) ->
     return (length, *marked)
 
 
+class InOrder:
+    """Length of the longest common subsequence of one sequence with others, bit-parallel."""
+
+    def __init__(self, target: np.ndarray):
+        self.n, self.masks = len(target), {}
+        for k, x in enumerate(target.tolist()):
+            self.masks[x] = self.masks.get(x, 0) | (1 << k)
+
+    def common(self, other: np.ndarray) -> int:
+        full = (1 << self.n) - 1
+        v = full
+        for y in other.tolist():
+            m = self.masks.get(y)
+            if m:
+                u = v & m
+                v = ((v + u) | (v - u)) & full
+        return self.n - v.bit_count()
+
+
 def common_in_order(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit-parallel."""
-    masks: dict[int, int] = {}
-    for k, x in enumerate(a.tolist()):
-        masks[x] = masks.get(x, 0) | (1 << k)
-    full = (1 << len(a)) - 1
-    v = full
-    for y in b.tolist():
-        m = masks.get(y)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return InOrder(a).common(b)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,18 +262,32 @@ def _sentences(sequence: np.ndarray, owner: np.ndarray, ends: np.ndarray, begins
         lo, hi = lo[fresh], hi[np.concatenate([fresh[1:], [True]])]
         mine = np.zeros(test.n_words + 1, dtype=bool)
         mine[target] = True
+        order = InOrder(target)
         for part in _chunks(hi - lo):
             _, near = _ranges(lo[part], hi[part])
             near = near[mine[sequence[near]]]  # an unknown word is number -1: the last entry, false
             until = np.searchsorted(near, np.minimum(near + span, ends[owner[near]]))
-            for k in np.flatnonzero(until - np.arange(len(near)) >= need).tolist():
-                d, start = int(owner[near[k]]), int(near[k])
+            rich = np.flatnonzero(until - np.arange(len(near)) >= need)  # windows with enough of the words in any order
+            if not len(rich):
+                continue
+            breaks = np.flatnonzero(rich[1:] >= until[rich[:-1]]) + 1  # windows that overlap are first looked at as one
+            for group in np.split(rich, breaks):
+                a, z = int(group[0]), int(until[group[-1]])
+                d, words_near = int(owner[near[a]]), sequence[near[a:z]]
                 have = found.get((d, item), ("", 0))
                 if have[0] == "verbatim" or have[1] >= n:
                     continue
-                kept = common_in_order(target, sequence[near[k : until[k]]])
+                most = order.common(words_near)
+                if most < need or most <= have[1]:
+                    continue
+                kept, start = (most, a) if near[z - 1] - near[a] < span else (0, a)
+                for k in group.tolist():
+                    if kept == most:
+                        break
+                    here = order.common(words_near[k - a : int(until[k]) - a])
+                    kept, start = (here, k) if here > kept else (kept, start)
                 if kept >= need and kept > have[1]:
-                    found[d, item] = ("sentence", kept, start, begin)
+                    found[d, item] = ("sentence", kept, int(near[start]), begin)
 
 
 def find_in_shard(docs: list[int], tokens: list[np.ndarray], test: TestSet) -> list[tuple]:
