@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from claimloom.llm.sentences import split_sentences
 
 RUN, RUN_CHARS = 10, 20
-KEPT, SPAN = 0.8, 2
+KEPT = 0.8
+#: The kept words lie within so many times the sentence's length: up to half as many words again may be put in between.
+SPAN = 1.5
 #: Words of documents per suffix array: bounds a task's memory to some 100 bytes a word. A longer document is a shard by itself.
 SHARD = 400_000
 #: Pairs of test suffix and place that are looked at together.
@@ -251,7 +253,7 @@ def _sentences(sequence: np.ndarray, owner: np.ndarray, ends: np.ndarray, begins
     times = np.diff(first)
     for begin, n, item in test.sentences:
         target = test.tokens[begin : begin + n]
-        need, span = math.ceil(n * KEPT - 1e-9), SPAN * n
+        need, span = math.ceil(n * KEPT - 1e-9), math.ceil(SPAN * n)
         rare = np.unique(target[np.argsort(times[target], kind="stable")[: n - need + 1]])
         _, at = _ranges(first[rare], first[rare + 1])
         if not len(at):

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -80,11 +81,11 @@ def test_short_and_heavily_changed_sentences(spark):
 
 
 def kept_in_order(sentence, doc):
-    """The most words of the sentence in order within twice its length, by the plain recurrence."""
+    """The most words of the sentence in order within half as much again as its length, by the plain recurrence."""
     best = 0
     for start in range(len(doc)):
         row = [0] * (len(sentence) + 1)
-        for y in doc[start : start + leaks.SPAN * len(sentence)]:
+        for y in doc[start : start + math.ceil(leaks.SPAN * len(sentence))]:
             row = [0] + [max(row[k + 1], row[k] + 1 if x == y else 0, 0) for k, x in enumerate(sentence)]
             for k in range(len(sentence)):
                 row[k + 1] = max(row[k + 1], row[k])
