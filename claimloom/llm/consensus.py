@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from claimloom.session import cut, discard
 
-ROUNDS = 8
+#: The rounds end once no skill changes by more than this (on sf0.1 no label differs from those at 0.001), or after so many.
+TOLERANCE = 0.02
+MOST_ROUNDS = 200
 #: A few votes say little about an item's ease, so it stays near 1 unless they say much.
 EASE_PRECISION = 6.0
 #: Annotators and skills up to this many are broadcast (16 bytes each); more are joined by shuffle.
@@ -25,11 +27,15 @@ BROADCAST_ANNOTATORS = 500_000
 
 @dataclass
 class Consensus:
-    """``posteriors``: item, task, label, n_sources, posterior; ``annotators``: source, skill, reliability, n_labels."""
+    """``posteriors``: item, task, label, n_sources, posterior; ``annotators``: source, skill, reliability, n_labels.
+
+    ``changes`` has the largest change of a skill in each round; the last one tells whether skills have settled.
+    """
 
     votes: DataFrame
     posteriors: DataFrame
     annotators: DataFrame
+    changes: list[float]
 
 
 def _sigmoid(x: Column) -> Column:
@@ -63,8 +69,10 @@ def _label_rows(state: DataFrame) -> DataFrame:
     return state.select("item_no", "log_ease", F.explode("p").alias("_p")).select("item_no", "log_ease", "_p.label_no", "_p.p")
 
 
-def estimate(votes: DataFrame, rounds: int = ROUNDS, broadcast_limit: int = BROADCAST_ANNOTATORS) -> Consensus:
-    """Estimate from distinct ``(source, task, item, label)`` rows; rows with a null in any of them are left out.
+def estimate(
+    votes: DataFrame, rounds: int = MOST_ROUNDS, broadcast_limit: int = BROADCAST_ANNOTATORS, tolerance: float = TOLERANCE
+) -> Consensus:
+    """Estimate from distinct ``(source, task, item, label)`` rows, until skills settle or for ``rounds`` rounds; rows with a null in any of them are left out.
 
     Several labels of one source for one item all count. An item with one label has that label; with
     no rows at all the result is empty. Ties in the posterior are left to the reader of ``posteriors``.
@@ -81,7 +89,8 @@ def estimate(votes: DataFrame, rounds: int = ROUNDS, broadcast_limit: int = BROA
     skills = cut(coded.select("source").distinct().withColumn("skill", F.lit(1.0)))
     side = F.broadcast if skills.count() <= broadcast_limit else (lambda d: d)
     eases: DataFrame | None = None
-    for _ in range(rounds):
+    changes: list[float] = []
+    while len(changes) < rounds and (not changes or changes[-1] > tolerance):
         now = side(skills.select("source", "skill"))
         rows = coded.join(_label_rows(_posteriors(coded, now, eases)), ["item_no", "label_no"]).join(now, "source")
         ease = F.exp("log_ease")
@@ -102,7 +111,8 @@ def estimate(votes: DataFrame, rounds: int = ROUNDS, broadcast_limit: int = BROA
         prior, precision = F.when(is_skill, 1.0).otherwise(0.0), F.when(is_skill, 1.0).otherwise(EASE_PRECISION)
         step = (F.col("g") - (F.col("now") - prior) * precision) / (F.col("h") + precision)
         bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step))
-        parameters = cut(summed.select("source", "item_no", (F.col("now") + bounded).alias("value")))
+        parameters = cut(summed.select("source", "item_no", (F.col("now") + bounded).alias("value"), F.abs(bounded).alias("moved")))
+        changes.append(parameters.filter("source IS NOT NULL").agg(F.max("moved").alias("m")).head().m or 0.0)
         before = skills
         skills = parameters.filter("source IS NOT NULL").select("source", F.col("value").alias("skill"))
         eases = parameters.filter("item_no IS NOT NULL").select("item_no", F.col("value").alias("log_ease"))
@@ -113,7 +123,7 @@ def estimate(votes: DataFrame, rounds: int = ROUNDS, broadcast_limit: int = BROA
     named = by_label.join(n_sources, "item_no").join(items, "item_no").join(labels.select("label_no", "label"), "label_no")
     backed = coded.join(by_label, ["item_no", "label_no"]).groupBy("source")
     annotators = backed.agg(F.avg("p").alias("reliability"), F.count(F.lit(1)).alias("n_labels")).join(skills, "source")
-    return Consensus(votes, named.select("task", "item", "label", "p", "n_sources", "log_ease"), annotators)
+    return Consensus(votes, named.select("task", "item", "label", "p", "n_sources", "log_ease"), annotators, changes)
 
 
 def consensus_labels(result: Consensus) -> DataFrame:

@@ -72,3 +72,12 @@ def test_agreement(spark):
     r = consensus.agreement(votes(spark, data)).head()
     # coincidences: aa 2, bb 2, ab 2 of 6 values, 3 of each
     assert (r.observed, r.expected, r.alpha) == pytest.approx((4 / 6, 12 / 30, 1 - (2 / 6) / (18 / 30)))
+
+
+def test_rounds_go_on_until_skills_settle(spark):
+    rng = random.Random(8)
+    data = [(s, "t", f"i{i}", "yes" if rng.random() < (0.9 if s < 4 else 0.6) else "no") for i in range(60) for s in range(6)]
+    loose, strict = (consensus.estimate(votes(spark, data), tolerance=t) for t in (0.5, 1e-4))
+    assert loose.changes == strict.changes[: len(loose.changes)] and len(loose.changes) < len(strict.changes) < consensus.MOST_ROUNDS
+    assert strict.changes[-1] <= 1e-4 < strict.changes[-2]
+    assert consensus.estimate(votes(spark, [])).changes == [0.0]
