@@ -20,7 +20,8 @@ from claimloom.session import cut
 
 #: Width of a bin of ln(value). Doubles span about 1,500 of ln, so an attribute has at most 75,000 bins whatever the rows.
 BIN = 0.02
-MAX_BINS = 1_000_000
+#: Assigned bins up to this many are broadcast (some 50 bytes each); those of very many attributes are joined by shuffle.
+BROADCAST_BINS = 1_000_000
 EM_ROUNDS = 200
 #: Who writes no unit mostly means the common one: it starts with this share of the unstated rows on top of what they show.
 COMMON_PRIOR = 0.5
@@ -95,12 +96,8 @@ def histogram(parsed: DataFrame) -> list:
         parsed.filter(F.col("number").isNotNull() & ~(stated & F.col("number_alt").isNotNull()))
         .groupBy("attribute", "common_key", stated.alias("stated"), F.floor(F.log(value) / BIN).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .limit(MAX_BINS + 1)
-        .collect()
     )
-    if len(counts) > MAX_BINS:
-        raise ValueError("more bins than doubles can fill: the attribute definitions are not a column list")
-    return counts
+    return list(counts.toLocalIterator())  # a partition at a time
 
 
 def _shape(bins: np.ndarray, n: np.ndarray):
@@ -178,6 +175,7 @@ def normalise(rows: DataFrame, defs: DataFrame, certain: float = 0.9) -> DataFra
     ``converted`` (another unit or scale was stated or found), ``assigned`` (the unit came from the
     mixture), ``posterior`` and ``uncertain`` (posterior below ``certain``). One row per row with a
     usable number; repeated rows stay repeated. Empty input gives an empty result.
+    A common unit without known conversions is a ``ValueError``.
     """
     definitions = A.read_definitions(defs)
     parsed = cut(parse(rows, definitions))  # read twice: for the statistics and for the result
@@ -185,6 +183,9 @@ def normalise(rows: DataFrame, defs: DataFrame, certain: float = 0.9) -> DataFra
     table = fit(counts)
     centre = A.by_key(F.col("attribute"), centres(counts), "double")
     off = lambda number: F.abs(F.log(number * F.coalesce("factor", F.lit(1.0))) - centre)
+    unknown = sorted({d["unit"] for d in definitions if d["unit"] is not None} - {d["unit"] for d in definitions if d["unit"] is not None and _common_key(d["unit"]) in Q.FACTORS})
+    if unknown:
+        raise ValueError(f"no conversions into {', '.join(unknown)}: add them to FACTORS and SPELLINGS")
     spark = rows.sparkSession
     assigned = spark.createDataFrame(table, "_a string, _bin bigint, _unit string, _factor double, _p double")
     stated = F.col("factor").isNotNull()
@@ -193,8 +194,9 @@ def normalise(rows: DataFrame, defs: DataFrame, certain: float = 0.9) -> DataFra
         .withColumn("number", F.when(stated & (off(F.col("number_alt")) < off(F.col("number"))), F.col("number_alt")).otherwise(F.col("number")))
         .withColumn("_b", F.when(~stated, F.floor(F.log("number") / BIN)))
     )
-    # one row per bin and attribute, checked against MAX_BINS above: bounded by the range of doubles, not by the rows
-    joined = used.join(F.broadcast(assigned), (F.col("attribute") == F.col("_a")) & (F.col("_b") == F.col("_bin")), "left")
+    # one row per bin and attribute: bounded by the range of doubles, not by the rows
+    assigned = F.broadcast(assigned) if len(table) <= BROADCAST_BINS else assigned
+    joined = used.join(assigned, (F.col("attribute") == F.col("_a")) & (F.col("_b") == F.col("_bin")), "left")
     factor = F.coalesce("factor", "_factor", F.lit(1.0))
     unit = F.coalesce("unit_key", "_unit")
     own = ("attribute", "number", "unit_key", "common_unit", "common_value", "converted", "assigned", "posterior", "uncertain")
