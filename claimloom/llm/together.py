@@ -5,8 +5,9 @@ The state (``Buckets``) is kept by hash of key: ``edges`` (basket, item), ``bask
 at least ``min_support`` baskets). A batch of added and removed rows is first reduced to the memberships that
 really change. Those emit signed deltas of basket sizes, of item counts and of pairs: a changed membership
 meets the other items of its basket only, so a basket of n items with c changes costs c * n rows. Pair deltas
-are added up before the shuffle and appended to their buckets (a bucket of many pieces is merged); sizes and
-counts are rewritten in the buckets concerned; scores are found again for pairs with an item of a changed
+are added up before the shuffle. Those of a batch that is small beside the state are appended to their buckets
+(a bucket of many pieces is merged), those of a large one are merged with the counts at once, in the same shuffle.
+Sizes and counts are rewritten in the buckets concerned; scores are found again for pairs with an item of a changed
 membership, and the buckets without such pairs stay.
 
 Two exact reductions keep the pair table small. A pair seen ``min_support`` times has both items in at
@@ -27,6 +28,8 @@ from claimloom.buckets import MERGE_AFTER, Buckets, within, years
 from claimloom.session import cut, discard
 
 HEAVY = 1000
+#: A batch that changes at least this share of all memberships is large.
+LARGE = 0.25
 #: A mask has a bit per heavy basket; fewer heavy baskets than could be spared are as exact.
 SLOTS = 63
 
@@ -34,7 +37,7 @@ SLOTS = 63
 def state(spark: SparkSession, min_support: int, heavy: int = HEAVY, tables: Buckets | None = None) -> Buckets:
     """Empty state: baskets of more than ``heavy`` items may be spared. ``tables``: where to keep it, else a folder of its own."""
     tables = tables or Buckets.scratch(spark)
-    tables.values = {"min_support": min_support, "heavy": heavy, "slots": [], "n_baskets": 0}
+    tables.values = {"min_support": min_support, "heavy": heavy, "slots": [], "n_baskets": 0, "n_edges": 0}
     return tables
 
 
@@ -107,17 +110,25 @@ def _recount(tables: Buckets, delta: DataFrame, edges: DataFrame, before: dict,
     return merged
 
 
-def _pair_deltas(tables: Buckets, delta: DataFrame, edges: DataFrame, moved: DataFrame, before: dict, after: dict, item: str) -> DataFrame:
-    """``item_a < item_b, n``: what the batch changes in the number of light baskets that hold both, as frequent items."""
+def _concerned(delta: DataFrame, edges: DataFrame, flipped: DataFrame, turned: list) -> DataFrame:
+    """The edges of the baskets in which a membership, the frequency of an item or the weight of the basket changed."""
+    baskets = delta.select("basket").unionByName(edges.join(flipped, "item", "left_semi").select("basket"))
+    if turned:
+        baskets = baskets.unionByName(edges.filter(F.col("basket").isin(*turned)).select("basket"))
+    return edges.join(baskets.distinct(), "basket", "left_semi")
+
+
+def _pair_deltas(
+    tables: Buckets, delta: DataFrame, edges: DataFrame, moved: DataFrame, before: dict, after: dict, item: str, large: bool
+) -> tuple[DataFrame, DataFrame]:
+    """``item_a < item_b, n``, not yet added up: what the batch changes in the number of light baskets that hold both, as
+    frequent items; and the memberships it is made from, to be discarded afterwards."""
     m = tables.values["min_support"]
     flipped = moved.filter((F.col("n_was") >= m) != (F.col("n") >= m)).select("item", (F.col("n_was") >= m).alias("was_f"), (F.col("n") >= m).alias("now_f"))
     steady = tables.read("items", f"item {item}, n bigint, mask bigint").filter(F.col("n") >= m).join(flipped, "item", "left_anti")
     frequent = steady.select("item", F.lit(True).alias("was_f"), F.lit(True).alias("now_f")).unionByName(flipped)
-    turned = sorted(set(before) ^ set(after))
-    concerned = delta.select("basket").unionByName(edges.join(flipped, "item", "left_semi").select("basket"))
-    if turned:
-        concerned = concerned.unionByName(edges.filter(F.col("basket").isin(*turned)).select("basket"))
-    rows = edges.join(concerned.distinct(), "basket", "left_semi").select("basket", "item", F.lit(1).alias("now"), F.lit(0).alias("d"))
+    rows = edges if large else _concerned(delta, edges, flipped, sorted(set(before) ^ set(after)))
+    rows = rows.select("basket", "item", F.lit(1).alias("now"), F.lit(0).alias("d"))
     rows = rows.unionByName(delta.select("basket", "item", F.lit(0).alias("now"), "d")).groupBy("basket", "item").agg(F.max("now").alias("now"), F.sum("d").alias("d"))
     light = lambda slots: ~F.col("basket").isin(*slots) if slots else F.lit(True)
     was = (F.col("now") - F.col("d") == 1) & F.col("was_f") & light(before)
@@ -128,11 +139,15 @@ def _pair_deltas(tables: Buckets, delta: DataFrame, edges: DataFrame, moved: Dat
     right = active.select("basket", F.col("item").alias("y"), F.col("was").alias("was_y"), F.col("now").alias("now_y"))
     met = left.join(right, "basket").filter("x <> y AND (was_y = now_y OR x < y)")  # two changed items meet once
     step = (F.col("now_x") & F.col("now_y")).cast("int") - (F.col("was_x") & F.col("was_y")).cast("int")
-    signed = met.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), step.alias("n")).filter("n <> 0")
-    return signed.groupBy("item_a", "item_b").agg(F.sum("n").alias("n")).filter("n <> 0")
+    signed = met.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), step.cast("bigint").alias("n")).filter("n <> 0")
+    return signed, active
+
+
+def _added_up(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("item_a", "item_b").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
-def _rescore(tables: Buckets, moved: DataFrame, item: str, first: bool) -> None:
+def _rescore(tables: Buckets, moved: DataFrame, item: str, first: bool, large: bool) -> None:
     """Scores of the pairs with an item of a changed membership; the others stay as they are."""
     m = tables.values["min_support"]
     kind = f"item_a {item}, item_b {item}, n_ab bigint, n_a bigint, n_b bigint"
@@ -145,10 +160,11 @@ def _rescore(tables: Buckets, moved: DataFrame, item: str, first: bool) -> None:
         return flagged.filter(any_ if wanted else ~any_).select(*rows.columns)
 
     counts = tables.read("pairs", f"item_a {item}, item_b {item}, n bigint")
-    counts = counts if first else about(counts, True)
-    if not first:
-        counts = counts.groupBy("item_a", "item_b").agg(F.sum("n").alias("n"))
+    counts = counts if large else about(counts, True)
+    if max(tables.pieces("pairs").values(), default=1) > 1:
+        counts = _added_up(counts)
     near = counts.filter(F.col("n") >= m - len(tables.values["slots"]))
+    near = about(near, True) if large and not first else near
     items = tables.read("items", f"item {item}, n bigint, mask bigint").filter(F.col("n") >= m)
     side = lambda s: items.select(F.col("item").alias(f"item_{s}"), F.col("n").alias(f"n_{s}"), F.col("mask").alias(f"mask_{s}"))
     n_ab = F.col("n") + F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b")))
@@ -175,6 +191,9 @@ def update(tables: Buckets, added: DataFrame, removed: DataFrame | None = None)
     types = f"basket {basket}, item {item}"
     first = "edges" not in tables.tables
     delta, at = _changes(tables, added, removed, types)
+    sizes = delta.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("d")).head()
+    tables.values["n_edges"] += sizes.d
+    large = sizes.n >= LARGE * tables.values["n_edges"]
     wrote = {"edges": len(at), "baskets": len(at)}
     if not at:
         discard(delta)
@@ -188,13 +207,18 @@ def update(tables: Buckets, added: DataFrame, removed: DataFrame | None = None)
     before, after = _resize(tables, delta, at, basket)
     edges = tables.read("edges", types)
     moved = _recount(tables, delta, edges, before, after, item)
-    deltas = _pair_deltas(tables, delta, edges, moved, before, after, item)
-    wrote["pairs"] = len(tables.append("pairs", deltas, "item_a", "item_b", spread=False))
-    many = [b for b, n in tables.pieces("pairs").items() if n > MERGE_AFTER]
-    if many:
-        kept = tables.read("pairs", "", many).groupBy("item_a", "item_b").agg(F.sum("n").alias("n")).filter("n <> 0")
-        tables.replace("pairs", kept, many, "item_a", "item_b", spread=False)
-    _rescore(tables, moved, item, first)
+    signed, active = _pair_deltas(tables, delta, edges, moved, before, after, item, large)
+    if large:
+        merged = _added_up(tables.read("pairs", f"item_a {item}, item_b {item}, n bigint").unionByName(signed))
+        tables.replace("pairs", merged, list(range(tables.n)), "item_a", "item_b", spread=False)
+        wrote["pairs"] = tables.n
+    else:
+        wrote["pairs"] = len(tables.append("pairs", _added_up(signed), "item_a", "item_b", spread=False))
+        many = [b for b, n in tables.pieces("pairs").items() if n > MERGE_AFTER]
+        if many:
+            tables.replace("pairs", _added_up(tables.read("pairs", "", many)), many, "item_a", "item_b", spread=False)
+    discard(active)
+    _rescore(tables, moved, item, first, large)
     discard(delta)
     discard(moved)
     return wrote
