@@ -48,14 +48,16 @@ def agreement_weights(values: DataFrame, claims: DataFrame, order: str) -> DataF
 
 
 def property_agreement(rows: DataFrame, min_support: int = 2) -> DataFrame:
-    """Per property of at least ``min_support`` rows: ``support``, ``largest``, ``agreement`` and the ``counts`` by value."""
+    """Per property of at least ``min_support`` rows: ``support``, ``largest``, ``agreement`` and the ``counts`` by value, largest first, then by value."""
     per_value = rows.groupBy(*PROPERTY, "value").agg(F.count(F.lit(1)).alias("n"))
     grouped = per_value.groupBy(*PROPERTY).agg(
         F.sum("n").alias("support"),
         F.max("n").alias("largest"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("counts"),  # one entry per distinct value
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "value"))).alias("_by_count"),  # one entry per distinct value
     )
-    return grouped.filter(F.col("support") >= min_support).withColumn("agreement", F.col("largest") / F.col("support"))
+    kept = grouped.filter(F.col("support") >= min_support)
+    counts = F.map_from_entries(F.transform("_by_count", lambda x: F.struct(x["value"], -x["o"])))  # a map keeps the order of its entries
+    return kept.select(*PROPERTY, "support", "largest", counts.alias("counts"), (F.col("largest") / F.col("support")).alias("agreement"))
 
 
 def agreement_summary(properties: DataFrame) -> DataFrame:

@@ -49,22 +49,31 @@ def last_values(rows: DataFrame, order: str, columns: tuple[str, ...] = ("value"
     return kept.groupBy("source_id", *PROPERTY).agg(picked).select("source_id", *PROPERTY, *[F.col(f"_last.{c}").alias(c) for c in columns])
 
 
-def directional_inclusion(assertions: DataFrame) -> DataFrame:
-    """All pairs of sources that share a property, ``source_a < source_b``.
+def _compared(assertions: DataFrame, *measures: Column) -> DataFrame:
+    """Per pair of sources that share a property: matches, disagreements, sizes and further sums over the shared properties.
 
-    ``score_ab = matches / size_b`` is how much of b is found in a, ``score_ba = matches / size_a`` the
-    reverse; ``agreement = matches / shared``; ``asymmetry`` is their absolute difference. ``assertions``
-    has one value per source and property.
+    ``measures`` may use ``_va``, ``_vb`` and the columns of the first source's row.
     """
     sizes = assertions.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-    a = assertions.select(F.col("source_id").alias("source_a"), *PROPERTY, F.col("value").alias("_va"))
+    a = assertions.withColumnsRenamed({"source_id": "source_a", "value": "_va"})
     b = assertions.select(F.col("source_id").alias("source_b"), *PROPERTY, F.col("value").alias("_vb"))
     pairs = a.join(b, PROPERTY).filter(F.col("source_a") < F.col("source_b")).groupBy("source_a", "source_b")
-    counted = pairs.agg(F.count_if(F.col("_va") == F.col("_vb")).alias("matches"), F.count_if(F.col("_va") != F.col("_vb")).alias("disagreements"))
-    sized = counted.join(sizes.select(F.col("source_id").alias("source_a"), F.col("n").alias("size_a")), "source_a").join(
+    same, other = F.count_if(F.col("_va") == F.col("_vb")), F.count_if(F.col("_va") != F.col("_vb"))
+    counted = pairs.agg(same.alias("matches"), other.alias("disagreements"), *measures)
+    return counted.join(sizes.select(F.col("source_id").alias("source_a"), F.col("n").alias("size_a")), "source_a").join(
         sizes.select(F.col("source_id").alias("source_b"), F.col("n").alias("size_b")), "source_b"
     )
-    scored = sized.withColumn("score_ab", F.col("matches") / F.col("size_b")).withColumn("score_ba", F.col("matches") / F.col("size_a"))
+
+
+def directional_inclusion(assertions: DataFrame) -> DataFrame:
+    """All pairs of sources that share a property, ``source_a < source_b``.
+
+    ``score_ab = matches / size_b`` is how much of b is found in a, ``score_ba = matches / size_a`` the
+    reverse; ``agreement = matches / shared``; ``asymmetry`` is their absolute difference. ``assertions``
+    has one value per source and property.
+    """
+    scored = _compared(assertions.select("source_id", *PROPERTY, "value"))
+    scored = scored.withColumn("score_ab", F.col("matches") / F.col("size_b")).withColumn("score_ba", F.col("matches") / F.col("size_a"))
     shared = F.col("matches") + F.col("disagreements")
     return scored.withColumn("agreement", F.when(shared == 0, 0.0).otherwise(F.col("matches") / shared)).withColumn(
         "asymmetry", F.abs(F.col("score_ab") - F.col("score_ba"))
@@ -110,13 +119,10 @@ def structural_independence(assertions: DataFrame) -> DataFrame:
     have mean rarity 0.
     """
     asserters = assertions.groupBy(*PROPERTY, "value").agg(F.count(F.lit(1)).alias("_n"))
-    rare = assertions.join(asserters, [*PROPERTY, "value"])
-    a = rare.select(F.col("source_id").alias("source_a"), *PROPERTY, "value", "_n")
-    b = assertions.select(F.col("source_id").alias("source_b"), *PROPERTY, "value")
-    matching = a.join(b, [*PROPERTY, "value"]).filter(F.col("source_a") < F.col("source_b"))
-    means = matching.groupBy("source_a", "source_b").agg((F.sum(1.0 / F.col("_n")) / F.count(F.lit(1))).alias("average_rarity"))
-    pairs = directional_inclusion(assertions).join(means, ["source_a", "source_b"], "left")
-    pairs = pairs.withColumn("average_rarity", F.coalesce("average_rarity", F.lit(0.0))).withColumn("inclusion", F.greatest("score_ab", "score_ba"))
+    rare = assertions.select("source_id", *PROPERTY, "value").join(asserters, [*PROPERTY, "value"])
+    pairs = _compared(rare, F.sum(F.when(F.col("_va") == F.col("_vb"), 1.0 / F.col("_n")).otherwise(0.0)).alias("_rarity"))
+    mean = F.when(F.col("matches") > 0, F.col("_rarity") / F.col("matches")).otherwise(0.0)
+    pairs = pairs.withColumn("average_rarity", mean).withColumn("inclusion", F.col("matches") / F.least("size_a", "size_b"))
     redundancy, independence = dependence_scores(F.col("inclusion"), F.col("average_rarity"))
     return pairs.withColumn("redundancy", redundancy).withColumn("independence", independence).select(
         "source_a", "source_b", "matches", "disagreements", "inclusion", "average_rarity", "redundancy", "independence"

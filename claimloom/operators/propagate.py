@@ -154,8 +154,9 @@ def run_until_convergence(rounds: Rounds, scores: DataFrame, tolerance: float =
             discard(previous)
         previous, current = current, after
         if deltas[-1] < tolerance:
-            return Propagation(current, support, len(deltas), deltas, True)
-    return Propagation(current, support, len(deltas), deltas, False)
+            break
+    rounds.edges.unpersist()  # what still reads them finds the written table
+    return Propagation(current, support, len(deltas), deltas, bool(deltas) and deltas[-1] < tolerance)
 
 
 #: The rules by name: whether scores are split by source degree, and the source step.

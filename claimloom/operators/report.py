@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,11 @@ def top_by(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """A report of a few rows in its order, which no join behind it can lose: ``position`` from 1."""
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order))).orderBy("position")
+
+
 def share(rows: DataFrame, count: str, percent: str = "percent") -> DataFrame:
     """Each count as a percentage of their sum."""
     total = rows.agg(F.sum(count).alias("_t"))  # one row

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.operators import propagate
-from claimloom.session import cut
+from claimloom.session import cut, discard
 
 STEPS_A_PLAN = 8
 _PRIME, _FACTOR = 2147483647, 48271
@@ -27,9 +27,20 @@ def expected_visits(edges: DataFrame, start: int, steps: int) -> DataFrame:
         now = propagate.source_step(rounds, propagate.claim_step(rounds, now))
         if (k + 1) % STEPS_A_PLAN == 0 and k + 1 < steps:
             now = cut(now)
+            seen = [_folded(seen, F.sum("score"), "score")]
         seen.append(now)
-    every = reduce(DataFrame.unionByName, seen)
-    return every.groupBy("source_id").agg(F.sum("score").alias("visits"))
+    return _together(seen, F.sum("score"), "visits")
+
+
+def _together(seen: list[DataFrame], count: Column, name: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, seen).groupBy("source_id").agg(count.alias(name))
+
+
+def _folded(seen: list[DataFrame], count: Column, name: str) -> DataFrame:
+    """The visits so far, written, so that the plan does not grow with the walk."""
+    after = cut(_together(seen, count, name))
+    discard(seen[0])
+    return after
 
 
 def _draw(walker, step: int, seed: int):
@@ -57,7 +68,8 @@ def random_walks(edges: DataFrame, start: int, walkers: int, steps: int, seed: i
     claim_n = cut(edges.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_a")))
     spark = edges.sparkSession
     at = spark.range(walkers).select(F.col("id").alias("walker"), F.lit(start).cast("bigint").alias("source_id"))
-    seen = [at]
+    one = lambda rows: rows.select("source_id", F.lit(1).cast("bigint").alias("n"))
+    seen = [one(at)]
     for step in range(steps):
         out = at.join(source_n, "source_id").select("walker", "source_id", (_draw(F.col("walker"), 2 * step, seed) % F.col("_d")).alias("at_source"))
         claim = out.join(numbered.select("source_id", "at_source", "claim_id"), ["source_id", "at_source"]).join(claim_n, "claim_id")
@@ -65,9 +77,9 @@ def random_walks(edges: DataFrame, start: int, walkers: int, steps: int, seed: i
         at = back.join(numbered.select("claim_id", "at_claim", "source_id"), ["claim_id", "at_claim"]).select("walker", "source_id")
         if (step + 1) % STEPS_A_PLAN == 0 and step + 1 < steps:
             at = cut(at)
-        seen.append(at)
-    every = reduce(DataFrame.unionByName, seen)
-    return every.groupBy("source_id").agg(F.count(F.lit(1)).alias("visits"))
+            seen = [_folded(seen, F.sum("n"), "n")]
+        seen.append(one(at))
+    return _together(seen, F.sum("n"), "visits")
 
 
 def unvisited(sources: DataFrame, visits: DataFrame) -> DataFrame:

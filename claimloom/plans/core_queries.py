@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,7 +194,7 @@ def ranking_changes(spark, sf):
 
 def saved_scores(spark, sf):
     """The score file, written and read again."""
-    path = f"{ensure_checkpoint_dir(spark)}/scores-{abs(hash(sf))}"
+    path = f"{ensure_checkpoint_dir(spark)}/scores-{hashlib.md5(sf.encode()).hexdigest()}"
     report.save_scores(_scores(spark, sf, "v4").scores, names(spark, sf), path)
     rows = spark.read.schema("source_id bigint, domain string, score double").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return rows.withColumn("score", F.round("score", 10))
@@ -247,7 +250,13 @@ def worst_agreement(spark, sf):
 def worst_agreement_values(spark, sf):
     """The values behind the worst properties, most backed first."""
     worst = agreement.worst_agreement(agreement.property_agreement(_valued(spark, sf)))
-    return worst.select("product_id", "attribute", F.explode("counts").alias("value", "n"))
+    return _values(worst)
+
+
+def _values(worst: DataFrame) -> DataFrame:
+    """The values of some properties with their counts, in order of count."""
+    listed = worst.select("product_id", "attribute", F.posexplode("counts").alias("_p", "value", "n"))
+    return listed.select("product_id", "attribute", "value", "n", (F.col("_p") + 1).alias("rank"))
 
 
 def _clean(spark, sf):
@@ -281,6 +290,11 @@ def largest_disagreements(spark, sf):
     return worst.select("product_id", "attribute", "support", "largest", F.round("agreement", 10).alias("agreement"))
 
 
+def largest_disagreement_values(spark, sf):
+    """The groups of values behind the largest disagreements, most backed first."""
+    return _values(agreement.worst_agreement(agreement.property_agreement(_clean(spark, sf))))
+
+
 def _last(spark, sf):
     rows = _properties(spark, sf).filter(F.col("claim_id").isNotNull() & F.col("source_id").isNotNull() & F.col("product_id").isNotNull())
     return overlap.last_values(rows, "row_id", ("value", "unit"))
@@ -301,7 +315,12 @@ def directional_inclusion(spark, sf):
 def top_inclusion(spark, sf):
     pairs = directional_inclusion(spark, sf)
     order = ("asymmetry", "matches", "disagreements", "agreement", "source_a", "source_b")
-    return report.top_by(pairs, 30, *[F.desc(c) for c in order])
+    return _pair_names(spark, sf, report.top_by(pairs, 30, *[F.desc(c) for c in order]))
+
+
+def _pair_names(spark: SparkSession, sf: str, pairs: DataFrame) -> DataFrame:
+    known = names(spark, sf)
+    return report.with_names(report.with_names(pairs, known, "source_a", "name_a"), known, "source_b", "name_b")
 
 
 def structural_independence(spark, sf):
@@ -315,7 +334,7 @@ def rarity_overlap(spark, sf):
 
 
 def top_rarity(spark, sf):
-    return report.top_by(rarity_overlap(spark, sf), 30, *[F.desc(c) for c in ("score", "shared", "source_a", "source_b")])
+    return _pair_names(spark, sf, report.top_by(rarity_overlap(spark, sf), 30, *[F.desc(c) for c in ("score", "shared", "source_a", "source_b")]))
 
 
 def _two(spark, sf):
@@ -341,6 +360,11 @@ def source_graph(spark, sf):
     return overlap.source_graph(edges(spark, sf))
 
 
+def projection_edges(spark, sf):
+    """The edges of the source graph by name, heaviest first."""
+    return _pair_names(spark, sf, overlap.source_graph(edges(spark, sf))).orderBy(F.desc("weight"), "source_a", "source_b")
+
+
 def communities(spark, sf):
     return community.find_communities(overlap.source_graph(edges(spark, sf)))
 
@@ -392,8 +416,8 @@ QUERIES = {
         full_v0, full_v1, full_v2, fixed_point_v3, credibility_run,
         top_sources, top_sources_with_claims, bottom_sources, ranking_changes, saved_scores, top_claims, canonical_claims, canonical_support, skipped_claims,
         skipped_examples, raw_claims, property_agreement, agreement_summary, agreement_distribution, worst_agreement, worst_agreement_values,
-        remove_ambiguous, ambiguous_count, agreement_edges, edge_weight_distribution, weakest_edges, largest_disagreements, last_values,
-        directional_inclusion, top_inclusion, structural_independence, rarity_overlap, top_rarity, inspect_pair, inspect_totals, source_graph,
+        remove_ambiguous, ambiguous_count, agreement_edges, edge_weight_distribution, weakest_edges, largest_disagreements, largest_disagreement_values, last_values,
+        directional_inclusion, top_inclusion, structural_independence, rarity_overlap, top_rarity, inspect_pair, inspect_totals, source_graph, projection_edges,
         communities, bridge_edges, connected_components, expected_visits, visit_share, random_walks, visit_totals, unvisited_sources,
     )
 }
@@ -477,6 +501,11 @@ inc AS (SELECT a AS source_a, b AS source_b, m AS matches, d AS disagreements, i
 _INCLUDED = "SELECT source_a, source_b, matches, disagreements, size_a, size_b, round(ab, 10) AS score_ab, round(ba, 10) AS score_ba, round(ag, 10) AS agreement, round(abs(ab - ba), 10) AS asymmetry FROM inc"
 _RARITY = f"""WITH {_E}, q AS (SELECT s, c, 1.0 / count(*) OVER (PARTITION BY c) AS w FROM e)
 SELECT x.s AS source_a, y.s AS source_b, round(sum(x.w), 9) AS score, count(*) AS shared FROM q x JOIN q y ON x.c = y.c AND x.s < y.s GROUP BY ALL"""
+_PAIR_NAMES = "coalesce(na.domain, source_a::VARCHAR) AS name_a, coalesce(nb.domain, source_b::VARCHAR) AS name_b"
+_PAIR_JOINS = " ".join(
+    f"LEFT JOIN (SELECT source_id AS s, arg_max(domain, (loaded_at, domain)) AS domain FROM sources GROUP BY source_id) n{x} ON n{x}.s = r.source_{x}" for x in "ab"
+)
+_RANK = "row_number() OVER (PARTITION BY pv.p, pv.a ORDER BY n DESC, v)::INT AS rank"
 _TWO = """tw AS (SELECT s FROM mp GROUP BY s ORDER BY count(*) DESC, s LIMIT 2),
 ins AS (SELECT x.p, x.a, CASE WHEN x.v = y.v AND x.unit IS NOT DISTINCT FROM y.unit THEN 'MATCH' ELSE 'DISAGREE' END AS verdict,
   concat_ws(' ', x.v, nullif(x.unit, '')) AS text_a, concat_ws(' ', y.v, nullif(y.unit, '')) AS text_b
@@ -561,7 +590,9 @@ SQL = {
     "agreement_distribution": f"WITH {_ROWS}, {_GROUPS.format('r')} SELECT {_TENTH.format('largest', 'support')} AS bucket, count(*) AS n FROM pg GROUP BY 1",
     "worst_agreement": f"WITH {_ROWS}, {_GROUPS.format('r')} {_AGREE} FROM pg WHERE largest <> support ORDER BY largest / support::DOUBLE, support DESC, p NULLS FIRST, a LIMIT 20",
     "worst_agreement_values": f"""WITH {_ROWS}, {_GROUPS.format('r')}, t AS (SELECT * FROM pg WHERE largest <> support ORDER BY largest / support::DOUBLE, support DESC, p NULLS FIRST, a LIMIT 20)
-        SELECT pv.p AS product_id, pv.a AS attribute, v AS value, n FROM pv JOIN t ON pv.p IS NOT DISTINCT FROM t.p AND pv.a = t.a""",
+        SELECT pv.p AS product_id, pv.a AS attribute, v AS value, n, {_RANK} FROM pv JOIN t ON pv.p IS NOT DISTINCT FROM t.p AND pv.a = t.a""",
+    "largest_disagreement_values": f"""WITH {_ROWS}, {_ONE}, {_GROUPS.format('am')}, t AS (SELECT * FROM pg WHERE largest <> support ORDER BY largest / support::DOUBLE, support DESC, p NULLS FIRST, a LIMIT 20)
+        SELECT pv.p AS product_id, pv.a AS attribute, v AS value, n, {_RANK} FROM pv JOIN t ON pv.p IS NOT DISTINCT FROM t.p AND pv.a = t.a""",
     "remove_ambiguous": f"WITH {_ROWS}, {_ONE} SELECT row_id, s AS source_id, p AS product_id, a AS attribute, v AS value FROM am",
     "ambiguous_count": f"WITH {_ROWS} SELECT count(*) FILTER (n = 1) AS kept, count(*) FILTER (n <> 1) AS removed FROM (SELECT count(DISTINCT v) AS n FROM r GROUP BY s, p, a)",
     "agreement_edges": f"WITH {_ROWS}, {_ONE}, {_CLEAN} {_EDGE}",
@@ -570,14 +601,17 @@ SQL = {
     "largest_disagreements": f"WITH {_ROWS}, {_ONE}, {_GROUPS.format('am')} {_AGREE} FROM pg WHERE largest <> support ORDER BY largest / support::DOUBLE, support DESC, p NULLS FIRST, a LIMIT 20",
     "last_values": f"WITH {_ROWS}, {_MAPS} SELECT s AS source_id, p AS product_id, a AS attribute, v AS value, unit FROM mp",
     "directional_inclusion": f"WITH {_ROWS}, {_MAPS}, {_INCL} {_INCLUDED}",
-    "top_inclusion": f"WITH {_ROWS}, {_MAPS}, {_INCL} {_INCLUDED} ORDER BY asymmetry DESC, matches DESC, disagreements DESC, agreement DESC, source_a DESC, source_b DESC LIMIT 30",
+    "top_inclusion": f"""WITH {_ROWS}, {_MAPS}, {_INCL} SELECT r.*, {_PAIR_NAMES} FROM ({_INCLUDED}
+        ORDER BY asymmetry DESC, matches DESC, disagreements DESC, agreement DESC, source_a DESC, source_b DESC LIMIT 30) r {_PAIR_JOINS}""",
+    "projection_edges": f"""WITH {_E} SELECT r.*, {_PAIR_NAMES} FROM (SELECT x.s AS source_a, y.s AS source_b, count(*) AS weight
+        FROM e x JOIN e y ON x.c = y.c AND x.s < y.s GROUP BY ALL) r {_PAIR_JOINS}""",
     "structural_independence": f"""WITH {_ROWS}, {_MAPS}, {_INCL}, ra AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY p, a, v) AS w FROM mp),
         mr AS (SELECT x.s AS i, y.s AS j, sum(x.w) / count(*) AS ar FROM ra x JOIN ra y ON x.p = y.p AND x.a = y.a AND x.v = y.v AND x.s < y.s GROUP BY ALL)
         SELECT source_a, source_b, matches, disagreements, round(greatest(ab, ba), 9) AS inclusion, round(coalesce(ar, 0.0), 9) AS average_rarity,
         round(greatest(ab, ba) * coalesce(ar, 0.0), 9) AS redundancy, round(1 - greatest(ab, ba) * coalesce(ar, 0.0), 9) AS independence
         FROM inc LEFT JOIN mr ON i = source_a AND j = source_b""",
     "rarity_overlap": _RARITY,
-    "top_rarity": f"SELECT * FROM ({_RARITY}) ORDER BY score DESC, shared DESC, source_a DESC, source_b DESC LIMIT 30",
+    "top_rarity": f"SELECT r.*, {_PAIR_NAMES} FROM (SELECT * FROM ({_RARITY}) ORDER BY score DESC, shared DESC, source_a DESC, source_b DESC LIMIT 30) r {_PAIR_JOINS}",
     "inspect_pair": f"WITH {_ROWS}, {_MAPS}, {_TWO} SELECT p AS product_id, a AS attribute, verdict, text_a, text_b FROM ins",
     "inspect_totals": f"WITH {_ROWS}, {_MAPS}, {_TWO} SELECT count(*) FILTER (verdict = 'MATCH') AS matches, count(*) FILTER (verdict <> 'MATCH') AS disagreements FROM ins",
     "source_graph": f"WITH {_E} SELECT x.s AS source_a, y.s AS source_b, count(*) AS weight FROM e x JOIN e y ON x.c = y.c AND x.s < y.s GROUP BY ALL",
@@ -588,3 +622,27 @@ SQL = {
     "random_walks": _monte_carlo(5000, 4),
     "unvisited_sources": f"{_walk(1, '(SELECT min(s) FROM e)')}, {_N} SELECT s AS source_id, domain FROM nm WHERE s NOT IN (SELECT s FROM vis)",
 }
+
+#: Reports whose order counts get it as a column, in the query and in its SQL: ``-`` before a column is descending.
+_ORDERS = {
+    "top_sources": "-score source_id", "bottom_sources": "score source_id", "top_sources_with_claims": "-score source_id", "top_claims": "-support claim_id",
+    "visit_share": "-percent source_id", "worst_agreement": "agreement -support product_id attribute", "largest_disagreements": "agreement -support product_id attribute",
+    "weakest_edges": "weight -total product_id attribute source_id value row_id", "top_rarity": "-score -shared -source_a -source_b",
+    "top_inclusion": "-asymmetry -matches -disagreements -agreement -source_a -source_b", "ranking_changes": "-abs(change) -change -source_id",
+    "skipped_claims": "-skipped canonical_attribute",
+}
+
+
+def _in_order(query: Callable[[SparkSession, str], DataFrame], order: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    def ordered(spark: SparkSession, sf: str) -> DataFrame:
+        return report.numbered(query(spark, sf), *[F.expr(c.lstrip("-")).desc() if c[0] == "-" else F.expr(c).asc() for c in order])
+
+    ordered.__name__, ordered.__doc__ = query.__name__, query.__doc__
+    return ordered
+
+
+for _name, _order in _ORDERS.items():
+    _columns = _order.split()
+    QUERIES[_name] = _in_order(QUERIES[_name], _columns)
+    _sorted = ", ".join(f"{c.lstrip('-')} DESC NULLS LAST" if c[0] == "-" else f"{c} NULLS FIRST" for c in _columns)
+    SQL[_name] = f"SELECT *, row_number() OVER (ORDER BY {_sorted})::INT AS position FROM ({SQL[_name]})"

@@ -57,9 +57,15 @@ def read_weights_csv(spark: SparkSession, folder: str) -> DataFrame:
     return agreement.agreement_weights(values, claims, order="_line")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def load_csv_bundle(spark: SparkSession, folder: str) -> CredibilityGraph:
     """Sources, edges and, where both files for them are there, weights."""
-    weighted = all(os.path.exists(os.path.join(folder, n)) for n in ("claims.csv", "source_claims.csv"))
+    weighted = all(_exists(spark, os.path.join(folder, n)) for n in ("claims.csv", "source_claims.csv"))
     return CredibilityGraph(
         read_sources_csv(spark, folder), read_assertions_csv(spark, folder), read_weights_csv(spark, folder) if weighted else None
     )
