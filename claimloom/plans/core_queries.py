@@ -193,11 +193,10 @@ def ranking_changes(spark, sf):
 
 
 def saved_scores(spark, sf):
-    """The score file, written and read again."""
+    """The score file, written and read again as it stands: 12 decimals."""
     path = f"{ensure_checkpoint_dir(spark)}/scores-{hashlib.md5(sf.encode()).hexdigest()}"
     report.save_scores(_scores(spark, sf, "v4").scores, names(spark, sf), path)
-    rows = spark.read.schema("source_id bigint, domain string, score double").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return rows.withColumn("score", F.round("score", 10))
+    return spark.read.schema("source_id bigint, domain string, score string").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def top_claims(spark, sf):
@@ -573,7 +572,7 @@ SQL = {
         SELECT s AS source_id, score, (SELECT count(*) FROM e WHERE e.s = t.s) AS claims, {_NAME} FROM t LEFT JOIN nm USING (s)""",
     "visit_totals": f"SELECT count(*) AS sources, sum(visits)::BIGINT AS visits FROM ({_monte_carlo(5000, 4)})",
     "ranking_changes": _CHANGES,
-    "saved_scores": f"{_SUM}, {_N} SELECT s AS source_id, coalesce(domain, s::VARCHAR) AS domain, round(x, 10) AS score FROM x{K} LEFT JOIN nm USING (s)",
+    "saved_scores": f"{_SUM}, {_N} SELECT s AS source_id, coalesce(domain, s::VARCHAR) AS domain, printf('%.12f', x) AS score FROM x{K} LEFT JOIN nm USING (s)",
     "top_claims": f"""{_SUM}, {_LAST_CLAIM}, t AS (SELECT c, round(y / sum(y) OVER (), 10) AS support FROM y{K} ORDER BY 2 DESC, c LIMIT 20)
         SELECT c AS claim_id, support, coalesce(m.product_id, '?') AS product_id, coalesce(m.attribute, '?') AS attribute FROM t LEFT JOIN cl USING (c)""",
     "canonical_claims": f"""WITH {_ROWS} SELECT DISTINCT sha256(concat_ws('|', coalesce(p, 'None'), coalesce(a, 'None'), v, coalesce(unit, 'None'))) AS claim_hash,
