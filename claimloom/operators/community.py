@@ -1,19 +1,29 @@
 """Communities of the weighted source graph, their bridges, and connected components.
 
-Louvain, deterministic: ties go to the smallest community. A graph of any size is worked on by rounds of
-joins in which every second node (by a hash of node and round) may move, so that two neighbours do not swap
-for ever, until no node gains by a move. Only a caller that asks for it has a small graph worked on by one
-task, with the nodes looked at in ascending order.
+Louvain, deterministic: ties go to the smallest community. Edges of a graph of any size are packed by node into
+blocks of numpy arrays that stay with the executors; the driver keeps a few numbers a node. A round is one job
+over the blocks, in which every second node (by a hash of node and round) may move, so that two neighbours do
+not swap for ever; rounds go on until no node gains by a move. Only a caller that asks for it has a small graph
+worked on by one task, with the nodes looked at in ascending order.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.session import cut, discard
 
+#: Edge ends in a block, on average.
+BLOCK_EDGES = 2_000_000
+#: Sums of a node's weights by community are a dense table where it has at most so many cells per edge end.
+DENSE_CELLS = 4
+_BLOCK = "nodes binary, counts binary, loops binary, near binary, weights binary, kind string"
+
 
 def _louvain(pairs: list[tuple[int, int, float]]) -> dict[int, int]:
     """Community of each node, named by its smallest node."""
@@ -67,83 +77,212 @@ def _louvain(pairs: list[tuple[int, int, float]]) -> dict[int, int]:
         adjacent, loops, members = merged, new_loops, new_members
 
 
-def _measured(graph: DataFrame, state: DataFrame, total: float) -> tuple[DataFrame, float]:
-    """Weight from each node to each community next to it, and the modularity of ``state`` but for loops, which no move changes."""
-    links = cut(graph.filter("a <> b").join(state.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("k")))
-    inside = links.join(state.select("a", "c"), ["a", "c"]).agg(F.sum("k").alias("i")).head().i or 0.0
-    volumes = state.groupBy("c").agg(F.sum("d").alias("v")).agg(F.sum(F.col("v") * F.col("v")).alias("s")).head().s
-    return links, inside / total - volumes / (total * total)
+def _packed(graph: DataFrame, ids: np.ndarray) -> DataFrame:
+    """Edge ends ``a, b, w`` in blocks, a node in one block only: places of nodes in ``ids``, neighbours and weights; loops apart."""
 
+    def pack(batches):
+        ends = [[batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for batch in batches if batch.num_rows]
+        if not ends:
+            return
+        n = len(ids)
+        key = np.concatenate([np.searchsorted(ids, a) * n + np.searchsorted(ids, b) for a, b, _ in ends])
+        w = np.concatenate([e[2] for e in ends])
+        del ends
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        w, key = np.add.reduceat(w[order], first), key[first]
+        a, b = key // n, key % n
+        nodes, row = np.unique(a, return_inverse=True)
+        loop = a == b
+        loops = np.bincount(row[loop], w[loop], len(nodes))
+        row, b, w = row[~loop], b[~loop], w[~loop]
+        if len(w) and w.min() >= 0 and w.max() < 65536 and (w == np.floor(w)).all():
+            w = w.astype(np.uint16)
+        arrays = (nodes.astype(np.int32), np.bincount(row, minlength=len(nodes)).astype(np.int32), loops, b.astype(np.int32), w)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays] + [pa.array([w.dtype.str])], _BLOCK_NAMES)
 
-def _settled(graph: DataFrame, total: float) -> tuple[DataFrame, bool]:
-    """``a, d, c``: the community of each node once no node gains by a move, and whether any moved.
+    ends = graph.count()
+    parts = max(graph.sparkSession.sparkContext.defaultParallelism, -(-ends // BLOCK_EDGES))
+    return graph.select("a", "b", "w").repartition(parts, "a").mapInArrow(pack, _BLOCK).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+_BLOCK_NAMES = [c.split()[0] for c in _BLOCK.split(", ")]
+
+
+def _blocks(batches):
+    """The arrays of each block: nodes, counts, loops, near, weights."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            kinds = (np.int32, np.int32, np.float64, np.int32, np.dtype(batch.column(5)[i].as_py()))
+            yield [np.frombuffer(batch.column(j)[i].as_buffer() or b"", kind) for j, kind in enumerate(kinds)]
+
+
+def _best(home: np.ndarray, d: np.ndarray, counts: np.ndarray, near: np.ndarray, w: np.ndarray, volume: np.ndarray, total: float) -> tuple:
+    """Per node the weight to its own community, the community it gains most in (ties: the smallest) and how much more than at home.
+
+    ``home`` and ``d`` are communities and degrees of the nodes, ``counts`` the lengths of their shares of ``near``, the
+    communities at the other ends, and of ``w``.
+    """
+    k, m = len(volume), len(counts)
+    inside, to, more = np.zeros(m), home.copy(), np.zeros(m)
+    ends = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+    dense = k * m <= DENSE_CELLS * len(near)
+    step = max(1, 4_000_000 // k) if dense else m
+    for lo in range(0, m, step):
+        hi = min(m, lo + step)
+        at, h, dd = slice(ends[lo], ends[hi]), home[lo:hi], d[lo:hi]
+        rows = np.arange(hi - lo)
+        key = np.repeat(rows, counts[lo:hi]) * k + near[at]
+        alone = (dd - volume[h]) * dd / total
+        if dense:
+            links = np.bincount(key, w[at], (hi - lo) * k).reshape(hi - lo, k)
+            own = links[rows, h]
+            gain = np.where(links > 0, links - volume * dd[:, None] / total, -np.inf)
+            gain[rows, h] = own + alone
+            to[lo:hi] = gain.argmax(axis=1)
+            more[lo:hi] = gain.max(axis=1) - gain[rows, h]
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
+            links, key = np.add.reduceat(w[at][order].astype(np.float64), first) if len(key) else np.zeros(0), key[first]
+            row, found = key // k, key % k
+            at_home = found == h[row]
+            own = np.bincount(row[at_home], links[at_home], hi - lo)
+            gain = np.where(at_home, links + alone[row], links - volume[found] * dd[row] / total)
+            top = own + alone
+            np.maximum.at(top, row, gain)
+            is_top = np.flatnonzero(gain == top[row])
+            which, where = np.unique(row[is_top], return_index=True)
+            to[lo + which] = found[is_top[where]]
+            more[lo:hi] = top - (own + alone)
+        inside[lo:hi] = own
+    return inside, to, more
+
+
+def _look(blocks: DataFrame, of: np.ndarray, degree: np.ndarray, total: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Modularity of a state but for loops, which no move changes; per node the community it gains most in, and how much."""
+    communities, c = np.unique(of, return_inverse=True)  # in order, so the first of equals is the smallest
+    volume = np.bincount(c, degree)
+
+    def look(batches):
+        for nodes, counts, _, near, w in _blocks(batches):
+            inside, to, more = _best(c[nodes], degree[nodes], counts, c[near], w, volume, total)
+            arrays = [pa.array([x.tobytes()], pa.binary()) for x in (nodes, to, more)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([float(inside.sum())])], ["nodes", "to", "more", "inside"])
+
+    to, more, inside = np.zeros(len(of), np.int64), np.zeros(len(of)), []
+    for r in blocks.mapInArrow(look, "nodes binary, to binary, more binary, inside double").toArrow().to_pylist():
+        nodes = np.frombuffer(r["nodes"], np.int32)
+        to[nodes], more[nodes] = np.frombuffer(r["to"], np.int64), np.frombuffer(r["more"])
+        inside.append((int(nodes[0]), r["inside"]))
+    return sum(i for _, i in sorted(inside)) / total - float(np.square(volume / total).sum()), communities[to], more
+
+
+def _turn(ids: np.ndarray, r: int, share: int) -> np.ndarray:
+    """Whether it is a node's turn in a round, by a hash of both."""
+    x = ids.astype(np.uint64) + np.uint64((r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))) % np.uint64(share) == 0
+
+
+def _rounds(blocks: DataFrame, ids: np.ndarray, degree: np.ndarray, total: float) -> tuple[np.ndarray, bool]:
+    """The community of each node, as a place in ``ids``, once no node gains by a move, and whether any moved.
 
     A round of which modularity does not rise, as moves at the same time can spoil each other, is undone
     and tried with half as many nodes, at last with the one of the largest gain, so the loop ends.
     """
-    state = cut(graph.groupBy("a").agg(F.sum("w").alias("d")).withColumn("c", F.col("a")))
-    links, quality = _measured(graph, state, total)
+    of = np.arange(len(ids))
+    quality, to, more = _look(blocks, of, degree, total)
     moved_any, share, r = False, 2, 0
     while True:
-        volume = state.groupBy("c").agg(F.sum("d").alias("v"))
-        home = state.select("a", "d", F.col("c").alias("home"))
-        scored = links.join(home, "a").join(volume, "c")
-        inside = F.when(F.col("c") == F.col("home"), F.col("d")).otherwise(0.0)
-        gain = F.col("k") - (F.col("v") - inside) * F.col("d") / total
-        best = scored.withColumn("g", gain).groupBy("a").agg(
-            F.min_by("c", F.struct(-F.col("g"), F.col("c"))).alias("to"), F.max("g").alias("g"), F.max(F.when(F.col("c") == F.col("home"), F.col("g"))).alias("stay")
-        )
-        stay_volume = home.join(volume.withColumnRenamed("c", "home"), "home").select("a", ((F.col("d") - F.col("v")) * F.col("d") / total).alias("alone"))
-        more = F.coalesce(F.col("g") - F.coalesce("stay", "alone"), F.lit(0.0))
-        wished = cut(state.join(best, "a", "left").join(stay_volume, "a").select("a", "d", "c", "to", more.alias("more")))
-        n = wished.filter("more > 1e-12").count()
+        wished = more > 1e-12
+        n = int(wished.sum())
         if n == 0:
-            discard(wished)
             break
         single = share > n
-        if single:
-            turn = F.col("a") == wished.orderBy(F.desc("more"), "a").head().a
-        else:
-            turn = F.pmod(F.xxhash64("a", F.lit(r)), F.lit(share)) == 0
-        moves = turn & (F.col("more") > 1e-12)
-        after = cut(wished.select("a", "d", F.when(moves, F.col("to")).otherwise(F.col("c")).alias("c")))
-        nobody = wished.filter(moves).limit(1).count() == 0
-        discard(wished)
+        moves = np.arange(len(ids)) == more.argmax() if single else wished & _turn(ids, r, share)
         r += 1
-        if nobody:
-            discard(after)
+        if not moves.any():
             continue
-        links_after, quality_after = _measured(graph, after, total)
+        after = np.where(moves, to, of)
+        quality_after, to_after, more_after = _look(blocks, after, degree, total)
         if quality_after > quality:
-            discard(state)
-            discard(links)
-            state, links, quality, moved_any, share = after, links_after, quality_after, True, max(2, share // 2)
-            continue
-        discard(after)
-        discard(links_after)
-        if single:  # its gain is below what numbers of this size tell apart
+            of, quality, to, more, moved_any, share = after, quality_after, to_after, more_after, True, max(2, share // 2)
+        elif single:  # its gain is below what numbers of this size tell apart
             break
-        share *= 2
-    discard(links)
-    return state, moved_any
+        else:
+            share *= 2
+    return of, moved_any
+
+
+def _degrees(blocks: DataFrame, n: int) -> np.ndarray:
+    def degrees(batches):
+        for nodes, counts, loops, _, w in _blocks(batches):
+            d = loops + np.bincount(np.repeat(np.arange(len(nodes)), counts), w, len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (nodes, d)], ["nodes", "d"])
+
+    found = np.zeros(n)
+    for r in blocks.mapInArrow(degrees, "nodes binary, d binary").toArrow().to_pylist():
+        found[np.frombuffer(r["nodes"], np.int32)] = np.frombuffer(r["d"])
+    return found
+
+
+def _merged(blocks: DataFrame, ids: np.ndarray, of: np.ndarray) -> DataFrame:
+    """The graph of the communities, a loop for what is inside."""
+    communities, c = np.unique(of, return_inverse=True)
+    names, k = ids[communities], len(communities)
+
+    def merge(batches):
+        for nodes, counts, loops, near, w in _blocks(batches):
+            home = c[nodes]
+            key = np.r_[np.repeat(home, counts) * k + c[near], home * (k + 1)]
+            key, row = np.unique(key, return_inverse=True)
+            sums = np.bincount(row, np.r_[w.astype(np.float64), loops], len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(names[key // k]), pa.array(names[key % k]), pa.array(sums)], ["a", "b", "w"])
+
+    return blocks.mapInArrow(merge, "a bigint, b bigint, w double").groupBy("a", "b").agg(F.sum("w").alias("w")).filter("w <> 0")
+
+
+def _ids(graph: DataFrame, *columns: str) -> np.ndarray:
+    ends = graph.select(F.explode(F.array(*columns)).alias("a")).distinct().toArrow()
+    return np.sort(ends["a"].to_numpy().astype(np.int64))
+
+
+def _settled(graph: DataFrame, total: float) -> tuple[DataFrame, bool]:
+    """``a, c`` of a graph with both directions of each edge: one level, and whether any node moved."""
+    ids = _ids(graph, "a")
+    blocks = _packed(graph, ids)
+    of, moved_any = _rounds(blocks, ids, _degrees(blocks, len(ids)), total)
+    blocks.unpersist()
+    return graph.sparkSession.createDataFrame(pa.table({"a": ids, "c": ids[of]})), moved_any
 
 
 def _distributed(pairs: DataFrame) -> DataFrame:
-    """The same objective by rounds of joins, at every level until no node moves; for graphs of any size."""
-    both = pairs.select("a", "b", "w").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    graph = cut(both.groupBy("a", "b").agg(F.sum("w").alias("w")))
-    total = graph.agg(F.sum("w").alias("t")).head().t  # both directions: twice the weight
-    nodes = cut(graph.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
-    while total:
-        state, moved_any = _settled(graph, total)
+    """The same objective by rounds over blocks of edges, at every level until no node moves."""
+    pairs = pairs.dropna()
+    sources = ids = _ids(pairs, "a", "b")
+    community = sources
+    both = F.explode(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))).alias("e")
+    graph = pairs.select(both).select("e.*")
+    while len(ids):
+        blocks = _packed(graph, ids)
+        degree = _degrees(blocks, len(ids))
+        of, moved_any = _rounds(blocks, ids, degree, float(degree.sum()))  # both directions: twice the weight
+        if moved_any:
+            community = ids[of][np.searchsorted(ids, community)]
+            merged = cut(_merged(blocks, ids, of))
+        blocks.unpersist()
         if not moved_any:
             break
-        mapping = state.select(F.col("a").alias("community"), F.col("c").alias("next"))
-        nodes = cut(nodes.join(mapping, "community").select("node", F.col("next").alias("community")))
-        left, right = mapping.select(F.col("community").alias("a"), F.col("next").alias("x")), mapping.select(F.col("community").alias("b"), F.col("next").alias("y"))
-        graph = cut(graph.join(left, "a").join(right, "b").groupBy("x", "y").agg(F.sum("w").alias("w")).select(F.col("x").alias("a"), F.col("y").alias("b"), "w"))
-    named = nodes.groupBy("community").agg(F.min("node").alias("_name"))
-    return nodes.join(named, "community").select(F.col("node").alias("source_id"), F.col("_name").alias("community"))
+        discard(graph)
+        ids, graph = np.unique(community), merged
+    _, place = np.unique(community, return_inverse=True)
+    smallest = np.full(len(sources), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, place, sources)
+    return pairs.sparkSession.createDataFrame(pa.table({"source_id": sources, "community": smallest[place]}))
 
 
 def find_communities(graph: DataFrame, one_task_edges: int = 0) -> DataFrame:

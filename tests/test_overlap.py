@@ -89,6 +89,42 @@ def test_rounds_at_every_size_until_no_node_gains(spark, monkeypatch):
     assert community.find_communities(graph).count() == 60
 
 
+def _ring(spark):
+    ring = [(i, (i + 1) % 60, 1.0) for i in range(60)] + [(i, (i + 7) % 60, 2.5) for i in range(0, 60, 3)]
+    return spark.createDataFrame([(-a, 2**40 - b, w) for a, b, w in ring] + [(2**40 - i, -i, 4.0) for i in range(60)], "source_a bigint, source_b bigint, weight double")
+
+
+def _communities(graph):
+    return {r.source_id: r.community for r in community.find_communities(graph).collect()}
+
+
+def test_few_jobs_a_round(spark):
+    spark.sparkContext.setJobGroup("communities", "")
+    found = _communities(_ring(spark))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("communities"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == 120 and jobs < 120
+
+
+def test_blocks_and_kinds_of_sums_do_not_matter(spark, monkeypatch):
+    graph = _ring(spark)
+    plain = _communities(graph)
+    assert 1 < len(set(plain.values())) < 60 and all(c == min(x for x in plain if plain[x] == c) for c in plain.values())
+    for cells, edges in ((0, 7), (10**6, 7), (10**6, 10**6)):
+        monkeypatch.setattr(community, "DENSE_CELLS", cells)
+        monkeypatch.setattr(community, "BLOCK_EDGES", edges)
+        assert _communities(graph) == plain
+    halves = graph.selectExpr("source_a", "source_b", "weight / 2 weight")
+    missing = spark.createDataFrame([(None, 1, 1.0), (1, None, 1.0)], graph.schema)
+    assert _communities(halves.union(halves.selectExpr("source_b", "source_a", "weight")).union(missing)) == plain
+
+
+def test_loops_count_for_degrees_only(spark):
+    schema = "source_a bigint, source_b bigint, weight bigint"
+    pairs = [(1, 2, 3), (2, 3, 3), (1, 3, 3), (3, 4, 1), (4, 5, 3), (5, 6, 3), (4, 6, 3)]
+    assert _communities(spark.createDataFrame([*pairs, (7, 7, 2)], schema)) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7}
+
+
 def test_components_and_empty_graphs(spark, cliques):
     apart = readers.literal_graph(spark, {1: [1, 2], 2: [2], 4: [3], 9: [3, 4]}).edges
     assert {r.source_id: r.component for r in community.connected_components(apart).collect()} == {1: 1, 2: 1, 4: 4, 9: 4}
