@@ -1,5 +1,6 @@
 import pytest
 
+from claimloom import session
 from claimloom.operators import community, overlap, walk
 from claimloom.sources import readers
 
@@ -106,6 +107,18 @@ def test_few_jobs_a_round(spark):
     assert len(found) == 120 and jobs < 120
 
 
+def test_a_written_graph_is_not_written_again(spark, monkeypatch):
+    written = session.cut(_ring(spark))
+
+    def unused(df):
+        assert df.count() != written.count(), "the whole graph was written twice"
+        return session.cut(df)
+
+    monkeypatch.setattr(community, "cut", unused)
+    found = community.find_communities(written)
+    assert 0 < community.bridge_edges(written, found).count() < written.count()
+
+
 def test_blocks_and_kinds_of_sums_do_not_matter(spark, monkeypatch):
     graph = _ring(spark)
     plain = _communities(graph)
