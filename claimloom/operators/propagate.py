@@ -10,8 +10,12 @@ made again from the written table), and scores of up to ``BROADCAST_SOURCES`` so
 The claim step and its join back then need no exchange, and a round moves only one partial score per source
 and partition, whatever the number of edges. Fewer edges are quicker read again than kept.
 
-Both steps are linear, so a fixed number of rounds is one lazy plan that is scaled once at the end. Runs
-until convergence write each vector to the shared folder, which ends its lineage.
+Both steps are linear, so a fixed number of rounds is one lazy plan that is scaled once at the end.
+
+Runs until convergence take hundreds of rounds. Their edges are packed by claim into blocks of numpy arrays
+that stay with the executors, and the driver keeps the vector: a round is one job that sends the scores to
+the blocks and brings back a partial score per source and task. With more than ``BROADCAST_SOURCES`` sources
+they are rounds of joins, each vector written to the shared folder, which ends its lineage.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +36,8 @@ ROUNDS_A_PLAN = 10
 SMALL_EDGES = 20_000_000
 #: A score row takes some 50 bytes in a broadcast table.
 BROADCAST_SOURCES = 1_000_000
+#: Edges in a block, on average.
+BLOCK_EDGES = 1_000_000
 
 
 @dataclass
@@ -97,16 +105,17 @@ class Rounds:
 
     edges: DataFrame
     send: Callable[[DataFrame], DataFrame]
+    written: DataFrame
 
 
 def ready(prepared: DataFrame, small: int | None = None, broadcast_limit: int = BROADCAST_SOURCES) -> Rounds:
     written = cut(prepared)
     if written.count() <= (SMALL_EDGES if small is None else small):
-        return Rounds(written, lambda scores: scores)
+        return Rounds(written, lambda scores: scores, written)
     n = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = written.repartition(n, "claim_id").persist(StorageLevel.MEMORY_AND_DISK)
     few = written.select("source_id").distinct().limit(broadcast_limit + 1).count() <= broadcast_limit
-    return Rounds(kept, F.broadcast if few else lambda scores: scores)
+    return Rounds(kept, F.broadcast if few else lambda scores: scores, written)
 
 
 def claim_step(rounds: Rounds, scores: DataFrame) -> DataFrame:
@@ -140,10 +149,80 @@ def run_fixed(rounds: Rounds, scores: DataFrame, iterations: int) -> Propagation
     return Propagation(normalise(scores) if iterations else scores, support, iterations)
 
 
-def run_until_convergence(rounds: Rounds, scores: DataFrame, tolerance: float = 1e-8, max_iterations: int = 1000) -> Propagation:
-    """Rounds until the largest change after scaling is below ``tolerance``; at the cap the last vector is returned."""
+def _packed(edges: DataFrame, ids: np.ndarray) -> DataFrame:
+    """Prepared edges in blocks, a claim in one block only: places of sources in ``ids``, first edges of claims, coefficients."""
+    names = ["source", "first", "down", "up"]
+
+    def pack(batches):
+        parts = [[batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        source, claim, down, up = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        del parts
+        order = np.lexsort((source, claim))
+        claim = claim[order]
+        first = np.flatnonzero(np.r_[True, claim[1:] != claim[:-1]])
+        arrays = (np.searchsorted(ids, source[order]).astype(np.int32), first.astype(np.int64), down[order], up[order])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names)
+
+    tasks = edges.sparkSession.sparkContext.defaultParallelism
+    parts = max(tasks, -(-edges.count() // BLOCK_EDGES))
+    packed = edges.select("source_id", "claim_id", "down", "up").repartition(parts, "claim_id")
+    return packed.mapInArrow(pack, ", ".join(f"{c} binary" for c in names)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _next(blocks: DataFrame, x: np.ndarray) -> np.ndarray:
+    """Scores after one round, scaled to sum 1 unless the sum is 0."""
+
+    def add(batches):
+        found = np.zeros(len(x))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                source, first, down, up = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in enumerate((np.int32, np.int64, np.float64, np.float64)))
+                support = np.add.reduceat(x[source] * down, first)
+                found += np.bincount(source, np.repeat(support, np.diff(first, append=len(source))) * up, len(x))
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["found"])
+
+    after = np.zeros(len(x))
+    blocks = blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism)  # a task brings back one vector for all its blocks
+    for part in blocks.mapInArrow(add, "found binary").toArrow()["found"]:
+        after += np.frombuffer(part.as_buffer())
+    total = after.sum()
+    return after if total == 0 else after / total
+
+
+def _converged_blocks(rounds: Rounds, scores: DataFrame, tolerance: float, max_iterations: int) -> Propagation:
+    spark = scores.sparkSession
+    found = scores.select(F.col("source_id").cast("bigint"), F.col("score").cast("double")).toArrow()
+    ids, x = found["source_id"].to_numpy(), found["score"].to_numpy()
+    order = np.argsort(ids)
+    ids, x = ids[order], x[order]
+    known = np.sort(rounds.written.select("source_id").distinct().toArrow()["source_id"].to_numpy())
+    if max_iterations and (not np.array_equal(ids, known) or found["score"].null_count):
+        raise ValueError("the vectors are over different sources")
+    blocks = _packed(rounds.written, ids)
     deltas: list[float] = []
+    previous = x
+    for _ in range(max_iterations):
+        previous, x = x, _next(blocks, x)
+        deltas.append(float(np.abs(x - previous).max(initial=0.0)))
+        if deltas[-1] < tolerance:
+            break
+    blocks.unpersist()
+    rounds.edges.unpersist()
+    current, before = (spark.createDataFrame(pa.table({"source_id": ids, "score": v})) for v in (x, previous))
+    return Propagation(current, claim_step(rounds, before), len(deltas), deltas, bool(deltas) and deltas[-1] < tolerance)
+
+
+def run_until_convergence(
+    rounds: Rounds, scores: DataFrame, tolerance: float = 1e-8, max_iterations: int = 1000, broadcast_limit: int | None = None
+) -> Propagation:
+    """Rounds until the largest change after scaling is below ``tolerance``; at the cap the last vector is returned."""
     current = cut(scores)
+    most = BROADCAST_SOURCES if broadcast_limit is None else broadcast_limit
+    if current.limit(most + 1).count() <= most:
+        return _converged_blocks(rounds, current, tolerance, max_iterations)
+    deltas: list[float] = []
     support = claim_step(rounds, current)
     previous = None
     for _ in range(max_iterations):

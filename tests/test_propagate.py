@@ -100,6 +100,28 @@ def test_kept_edges_give_the_same(toy, rule, monkeypatch):
     assert scores(propagate.run_fixed(shuffled, propagate.uniform(toy), 3)) == pytest.approx(plain)
 
 
+@pytest.mark.parametrize("rule", list(propagate.RULES))
+def test_blocks_give_the_same_as_joins(spark, rule, monkeypatch):
+    monkeypatch.setattr(propagate, "BLOCK_EDGES", 3)
+    edges = readers.literal_graph(spark, {-1: [1, 2, 3], 2: [2, 3, 4], 3: [4, 5], 2**40: [1, 5, 9], 7: [9]}).edges
+    weights = spark.createDataFrame([(2, 3, 0.5), (7, 9, 0.25)], "source_id bigint, claim_id bigint, weight double")
+    split, combine = propagate.RULES[rule]
+    rounds = propagate.ready(propagate.prepare(edges, weights=weights, split_by_source_degree=split, source_combine=combine))
+    joins, blocks = (propagate.run_until_convergence(rounds, propagate.seeded(edges), 1e-4, 30, limit) for limit in (0, None))
+    assert scores(joins) == pytest.approx(scores(blocks)) and joins.deltas == pytest.approx(blocks.deltas, abs=1e-12) and joins.converged == blocks.converged
+    assert {r.claim_id: r.support for r in joins.support.collect()} == pytest.approx({r.claim_id: r.support for r in blocks.support.collect()})
+
+
+def test_one_job_a_round(spark, toy):
+    spark.sparkContext.setJobGroup("rounds", "")
+    found = propagate.propagate(toy, rule="v4", tolerance=0.0, max_iterations=40)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.iterations == 40 and jobs < 80
+    with pytest.raises(ValueError):
+        propagate.propagate(toy, propagate.uniform(toy.filter("source_id < 4")), rule="v4")
+
+
 def test_unknown_rule(toy):
     with pytest.raises(ValueError):
         propagate.prepare(toy, source_combine="median")
