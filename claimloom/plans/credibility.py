@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from claimloom.operators import propagate, report
+from claimloom.session import cut
 from claimloom.sources.readers import CredibilityGraph
 
 SAME_FIXED_POINT = 1e-8
@@ -31,11 +32,17 @@ def run(
     graph: CredibilityGraph, *, save_to: str | None = None, tolerance: float = 1e-8, max_iterations: int = 1000, seed: int = 1, n: int = 20
 ) -> RunResult:
     """Score all sources by the weighted rule, compare with weights of 1 and with a seeded start, optionally save the scores."""
-    options = {"tolerance": tolerance, "max_iterations": max_iterations}
-    weighted = propagate.propagate(graph.edges, weights=graph.weights, **options)
+    edges = cut(graph.edges)
+    split, combine = propagate.RULES["v7"]
+
+    def ready(weights: DataFrame | None) -> propagate.Rounds:
+        return propagate.ready(propagate.prepare(edges, weights=weights, split_by_source_degree=split, source_combine=combine))
+
+    rounds = ready(graph.weights)  # prepared once for both starts
+    weighted = propagate.run_until_convergence(rounds, propagate.uniform(edges), tolerance, max_iterations)
     if save_to is not None:
         report.save_scores(weighted.scores, graph.sources, save_to)
-    baseline = propagate.propagate(graph.edges, **options)
-    seeded = propagate.propagate(graph.edges, propagate.seeded(graph.edges, seed), weights=graph.weights, **options)
+    baseline = propagate.run_until_convergence(ready(None), propagate.uniform(edges), tolerance, max_iterations)
+    seeded = propagate.run_until_convergence(rounds, propagate.seeded(edges, seed), tolerance, max_iterations)
     changes = report.with_names(report.ranking_changes(baseline.scores, weighted.scores, n), graph.sources)
     return RunResult(weighted, baseline, seeded, changes, propagate.max_difference(weighted.scores, seeded.scores))

@@ -77,6 +77,14 @@ def test_fixed_point_does_not_depend_on_the_start(spark):
     assert all(abs(r.change) < 1e-9 for r in result.changes.collect())
 
 
+def test_a_run_prepares_weighted_edges_once(spark, monkeypatch):
+    prepared, prepare = [], propagate.prepare
+    monkeypatch.setattr(propagate, "prepare", lambda *a, **k: prepared.append(k["weights"]) or prepare(*a, **k))
+    graph = readers.literal_graph(spark, {1: [1, 2, 3], 2: [2, 3, 4], 3: [4, 5], 4: [1, 5]})
+    graph.weights = graph.edges.withColumn("weight", F.lit(0.5))
+    assert credibility.run(graph).same_fixed_point and len(prepared) == 2
+
+
 def test_seeded_start(spark):
     ids = readers.literal_graph(spark, {-5: [1], 0: [1], 7: [2], 2**62: [2]}).edges
     first, other = (scores_of(propagate.seeded(ids.repartition(n), s)) for n, s in ((1, 1), (5, 2)))
